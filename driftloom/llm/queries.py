@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import quality
+from . import chat, mixing, pii, quality
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +17,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents, in the order of virtual finish time of the first copy."""
+    planned = mixing.schedule(table(spark, sf_dir, "documents")).withColumn("virtual_finish", F.get("finish", F.lit(0)))
+    return planned.orderBy("virtual_finish", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds the template's own marks, rendered and read back."""
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.parse(chat.render(chat.fold(rows))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_source_mixing": op3_source_mixing,
+        "op5_personal_data": op5_personal_data,
+        "op9_chat_formatting": op9_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
+        "op3_source_mixing": mixing.ORACLE,
+        "op9_chat_formatting": chat.ORACLE,
     }
