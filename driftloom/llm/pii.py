@@ -15,6 +15,7 @@ an empty table gives an empty result and a model that adds nothing. Extra column
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,12 +52,13 @@ FEATURES = (
 _BLOCK = 512
 
 
-def _running(a: Column) -> Column:
-    """Sums of all items before each one, in blocks, so that long arrays stay cheap."""
+def _before(a: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over all items before each one (0 before the first), in blocks, so that long arrays stay cheap."""
+    zero = F.lit(0).cast("long")
 
     def plain(x: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("list"))
-        step = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.array_append(acc["list"], acc["sum"]).alias("list"))
+        start = F.struct(zero.alias("all"), F.array().cast("array<bigint>").alias("list"))
+        step = lambda acc, v: F.struct(op(acc["all"], v).alias("all"), F.array_append(acc["list"], acc["all"]).alias("list"))
         return F.aggregate(x, start, step, lambda acc: acc["list"])
 
     def blocked(x: Column) -> Column:
@@ -64,15 +66,44 @@ def _running(a: Column) -> Column:
         return let(F.transform(at, lambda b: F.slice(x, b * _BLOCK + 1, _BLOCK)), joined)
 
     def joined(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v))
-        offsets = plain(totals)
-        return F.flatten(
-            F.transform(F.arrays_zip(blocks.alias("b"), offsets.alias("o")), lambda z: F.transform(plain(z["b"]), lambda v: v + z["o"]))
-        )
+        wholes = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, v: op(s, v)))
+        pairs = F.arrays_zip(blocks.alias("b"), plain(wholes).alias("o"))
+        return F.flatten(F.transform(pairs, lambda z: F.transform(plain(z["b"]), lambda v: op(v, z["o"]))))
 
     return F.when(F.size(a) <= _BLOCK, plain(a)).otherwise(blocked(a))
 
 
+def _running(a: Column) -> Column:
+    return _before(a, lambda s, v: s + v)
+
+
+def _reach(base: Column, place: Column) -> Column:
+    """The furthest end of the base spans that start before ``place``, by bisection. ``base`` is what ``_ordered`` gives."""
+    size = F.size(base["starts"])
+    low_high = F.struct(F.lit(0).alias("low"), size.alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        less = F.get(base["starts"], mid) < place
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(
+            F.struct(F.when(less, mid + 1).otherwise(acc["low"]).alias("low"), F.when(less, acc["high"]).otherwise(mid).alias("high"))
+        )
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1))).cast("int"))
+    found = F.aggregate(rounds, low_high, step, lambda acc: F.get(base["reach"], acc["low"]))
+    return F.when(size == 0, F.lit(0).cast("long")).otherwise(found)
+
+
+def _ordered(spans: Column) -> Column:
+    """Starts in order, and before each place in that order (and after the last) the furthest end so far."""
+
+    def split(x: Column) -> Column:
+        ends = F.concat(F.transform(x, lambda s: s["end"]), F.array(F.lit(0).cast("long")))
+        return F.struct(F.transform(x, lambda s: s["start"]).alias("starts"), let(ends, lambda e: _before(e, F.greatest)).alias("reach"))
+
+    return let(F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), split)
+
+
 def _found(text: Column, pattern: str, kind: str, loose: bool) -> Column:
     """All leftmost non-overlapping matches: kind, loose, start, end, value, before, after."""
 
@@ -130,7 +161,7 @@ def _count(c: Column, pattern: str) -> Column:
 
 def _measured(c: Column, base: Column) -> Column:
     """A candidate with its feature vector, whether a base check passes, and whether a base span holds it."""
-    meets = F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    meets = _reach(base, c["end"]) > c["start"]
     value, flag = c["value"], lambda x: F.coalesce(x, F.lit(False)).cast("double")
     vector = [
         flag(c["loose"]), c["kind"].cast("double"), F.length(value).cast("double"), _count(value, "[0-9]+"), _count(value, r"\p{L}+"),
@@ -138,7 +169,7 @@ def _measured(c: Column, base: Column) -> Column:
         flag(c["before"].rlike(r"(?:^|\s)$")), flag(c["after"].rlike(r"^(?:$|\s|[.,;!?])")), flag(c["before"].rlike(r"[\p{L}\p{N}]$")),
         flag(c["before"].rlike(HINTS)), flag(meets & c["loose"]),
     ]
-    inside = F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+    inside = _reach(base, c["start"] + 1) >= c["end"]
     return F.struct(
         c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.array(*vector).alias("x"),
         _passes(c).alias("sure"), inside.alias("inside"), meets.alias("meets"),
@@ -154,7 +185,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bodies = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), body.alias("_t"))
     rows = bodies.select("row", "key", "_t", F.when(F.col("_t").rlike(r"[0-9@]| at "), found).alias("_found"))
     sure = F.filter("_found", lambda c: _passes(c))
-    both = rows.select("row", "key", "_t", F.when(F.size("_found") > 0, F.struct(F.col("_found").alias("all"), sure.alias("base"))).alias("_both"))
+    both = rows.select("row", "key", "_t", F.when(F.size("_found") > 0, F.struct(F.col("_found").alias("all"), _ordered(sure).alias("base"))).alias("_both"))
     measured = let(F.col("_both"), lambda v: F.transform(v["all"], lambda c: _measured(c, v["base"])))
     return both.select(
         "row",
@@ -234,20 +265,17 @@ def redact(docs: DataFrame, detector: Detector | None = None, key: str = "doc_id
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def rewritten(v: Column) -> Column:
-        # acc: place reached and parts so far; a span that starts before that place only moves it on
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-        gap = lambda acc, s: F.array_join(F.slice(v["chars"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), "")
-        step = lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] < acc["at"]), acc["parts"]).otherwise(
-                F.concat(acc["parts"], F.array(gap(acc, s), F.get(names, s["kind"])))
-            ).alias("parts"),
+        ends = F.concat(F.transform(v["spans"], lambda s: s["end"]), F.array(F.lit(0).cast("long")))
+        return let(_before(ends, F.greatest), lambda reach: pasted(v, reach))
+
+    def pasted(v: Column, reach: Column) -> Column:
+        cut = lambda a, z: F.array_join(F.slice(v["chars"], (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int")), "")
+        piece = lambda s, i: F.when(s["start"] < F.get(reach, i), "").otherwise(
+            F.concat(cut(F.get(reach, i), s["start"]), F.get(names, s["kind"]))
         )
-        tail = lambda acc: F.concat(
-            F.array_join(acc["parts"], ""),
-            F.array_join(F.slice(v["chars"], (acc["at"] + 1).cast("int"), F.greatest(F.size(v["chars"]) - acc["at"].cast("int"), F.lit(0))), ""),
+        return F.concat(
+            F.array_join(F.transform(v["spans"], piece), ""), cut(F.get(reach, F.size(v["spans"])), F.size(v["chars"]).cast("long"))
         )
-        return F.aggregate(v["spans"], start, step, tail)
 
     chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
     fresh = F.when(F.size("spans") == 0, F.col(f"row.`{text}`")).otherwise(let(F.struct(chars.alias("chars"), by_place.alias("spans")), rewritten))
