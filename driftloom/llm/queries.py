@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, mixing, pii, quality
+from . import chat, mixing, ngram_join, pii, quality
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,18 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parse(chat.render(chat.fold(rows))))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under five-word shingle Jaccard of at least 0.8."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_source_mixing": op3_source_mixing,
         "op5_personal_data": op5_personal_data,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
