@@ -1,8 +1,67 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: quality rules, near-duplicate join, personal data, source mixing, packing.
 
+Each stage takes the documents that its predecessor kept and returns them with the columns of ``documents``; the last
+returns packed pieces. ``run`` writes every stage's result as Parquet to the shared folder and rereads it, so that no
+stage computes its predecessor again and a lost executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.llm import mixing, ngram_join, packing, pii, quality
+from driftloom.llm.common import shared_dir
+from driftloom.sources.tables import table
+
+#: The mix's words come from a fitted detector's output and a measured rule order, which SQL can't express.
 ORACLE_SQL = None
-STAGES = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a base limit or a rule of the cascade rejects."""
+    return quality.keep_good(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each component of the n-gram Jaccard join."""
+    return ngram_join.keep_one(docs).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    return _recounted(pii.redact(docs))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does, in mix order."""
+    return _recounted(mixing.mix(docs))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all of the mix into sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_dir(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

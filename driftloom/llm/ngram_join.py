@@ -370,5 +370,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int |
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the first of their component, with their own columns; repeated rows of those once."""
-    firsts = join(docs, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, F.col(key) == F.col("_first"), "left_semi").dropDuplicates([key])
+    found = checkpointed(join(docs, key, text))
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    kept = docs.join(firsts.distinct(), F.col(key) == F.col("_first"), "left_semi")
+    repeated = firsts.groupBy("_first").count().where("count > 1").take(1)
+    return kept.dropDuplicates([key]) if repeated else kept

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, mixing, ngram_join, pii, quality
+from . import chat, mixing, ngram_join, packing, pii, quality, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.orderBy("virtual_finish", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    return token_files.digest(token_files.round_trip(table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -50,7 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_source_mixing": op3_source_mixing,
+        "op4_token_files": op4_token_files,
         "op5_personal_data": op5_personal_data,
+        "op6_packing": op6_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
