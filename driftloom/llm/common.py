@@ -66,3 +66,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def parts(spark: SparkSession, units: int, per_part: int, least: int = 12) -> int:
     """Number of partitions that keeps each near ``per_part`` units, however large the input."""
     return max(least, -(-units // per_part))
+
+
+def below(ordered: Column, value: Column) -> Column:
+    """Number of items of an ascending array that are less than ``value``, by bisection."""
+
+    def search(items: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+            less = F.get(items, mid) < value
+            return F.when(acc["low"] >= acc["high"], acc).otherwise(
+                F.struct(F.when(less, mid + 1).otherwise(acc["low"]).alias("low"), F.when(less, acc["high"]).otherwise(mid).alias("high"))
+            )
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + F.lit(1))).cast("int"))
+        start = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
+        return F.aggregate(rounds, start, step, lambda acc: acc["low"])
+
+    return let(ordered, search)

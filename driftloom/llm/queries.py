@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, mixing, ngram_join, packing, pii, quality, token_files
+from . import chat, fingerprints, mixing, ngram_join, packing, pii, quality, token_counts, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the first, middle and last third of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.thirds(docs)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds the template's own marks, rendered and read back."""
     said = r"\### Assistant: </turn> ok"
@@ -63,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_personal_data": op5_personal_data,
         "op6_packing": op6_packing,
+        "op7_fingerprints": op7_fingerprints,
+        "op8_token_counts": op8_token_counts,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }

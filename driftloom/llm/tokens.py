@@ -36,6 +36,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.known: dict[bytes, np.ndarray] = {}
         self.cores: dict[bytes, np.ndarray] = {}
+        self.spans: dict[bytes, np.ndarray] = {}
 
     def _library(self, words: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -74,6 +75,25 @@ class WordEncoder:
         return [np.concatenate([*map(known.__getitem__, words), end]) for words in split]
 
 
+    def places(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each token of a text, in code points of the text; the end id has none."""
+        if len(self.spans) > CACHED_WORDS:
+            self.spans.clear()
+        words = text.split()
+        fresh = sorted(set(words).difference(self.spans))
+        for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+            self.spans[w] = np.array(e.offsets, np.int64).reshape(-1, 2)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data = np.frombuffer(text, np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        chars = np.cumsum((data & 0xC0) != 0x80) - 1
+        own = [self.spans[w] for w in words]
+        spans = np.concatenate(own) + np.repeat(chars[first], [len(x) for x in own])[:, None]
+        return spans[:, 0], spans[:, 1]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> WordEncoder:
     """One encoder for each worker process."""
