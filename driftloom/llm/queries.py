@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, fingerprints, mixing, ngram_join, packing, pii, quality, token_counts, token_files
+from . import chat, fingerprints, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 50-byte strings removed from all documents."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents, in the order of virtual finish time of the first copy."""
     planned = mixing.schedule(table(spark, sf_dir, "documents")).withColumn("virtual_finish", F.get("finish", F.lit(0)))
@@ -70,6 +75,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_token_files": op4_token_files,
         "op5_personal_data": op5_personal_data,
