@@ -7,10 +7,12 @@ Columns of the incidence are dealt into blocks by shingle hash, rows into blocks
 2. A document with too few shared shingles to overlap anything by the threshold is discarded by size alone. Documents with
    equal sets become one class.
 3. Two sets over the threshold share a shingle among their rarest n - ceil(t n) + 1. Those prefixes are the columns of the
-   product, block by block. First each class meets the first class of its columns (a star, linear in the postings) and the
-   one it shares most with is verified; components are formed. Then all remaining products between different components
-   are accumulated, pairs whose accumulated overlap cannot reach the size-derived bound are discarded, and the others are
-   verified on whole sets. Pairs inside a component need no product: they cannot change it.
+   product, block by block. First each class meets the first class of its columns (its star's centre, linear in the
+   postings); overlaps accumulate and the one it shares most with is compared on whole sets; components are formed.
+   Then stars that hold several components are multiplied in blocks of whole sets, which give out links only, however
+   many members a star has. Then the products between different components and stars are accumulated, pairs whose
+   accumulated overlap cannot reach the size-derived bound are discarded, and the others are compared on whole sets.
+   Pairs inside a component need no product: they cannot change it.
 
 A shingle that one chunk of a map task meets in ``HOT`` documents is settled in the map: its postings go straight to the
 row blocks, marked as most frequent, and its column block gets one entry. No column thus gathers a large share of the rows.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import arrays, batch, grouped, mixed, runs, sized, text_chunks, word_hashes
@@ -42,6 +44,10 @@ NEED, OF = 80, 100
 HOT = 64
 #: Shingles that one block holds, about.
 PER_BLOCK = 4_000_000
+#: A class belongs to its centre's star from this share of common shingles (of the union, in percent) up.
+CLOSE = 50
+#: Classes that one block of a star's product has as columns, about.
+BLOCK_COLUMNS = 4096
 _MOST = np.uint32(0xFFFFFFFF)
 _ODD = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -205,8 +211,8 @@ def _assemble(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
             yield batch(_DOC, [ids, n.view(np.int64), one.view(np.int64), two.view(np.int64), high - low, blobs])
 
 
-_POST_SQL = "bucket int, hashes binary, who binary, n binary, label binary"
-_POST = [("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("label", pa.binary())]
+_POST_SQL = "bucket int, hashes binary, who binary, n binary, label binary, star binary"
+_POST = [("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("label", pa.binary()), ("star", pa.binary())]
 
 
 def _prefixes(columns: int):
@@ -214,7 +220,7 @@ def _prefixes(columns: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rep, n, label = (part.column(k).to_numpy() for k in ("rep", "n", "label"))
+            rep, n, label, star = (part.column(k).to_numpy() for k in ("rep", "n", "label", "star"))
             sets = [unpack(v) for v in part.column("ordered").to_pylist()]
             size = n - -(-NEED * n // OF) + 1 - (n - np.array([len(s) for s in sets], np.int64))
             size = np.maximum(size, 0)
@@ -223,7 +229,7 @@ def _prefixes(columns: int):
             out = [[] for _ in _POST]
             for bucket, at in _split(_bucket(hashes, columns), columns):
                 who = owner[at]
-                for column, value in zip(out, (bucket, pack(hashes[at]), rep[who].tobytes(), n[who].tobytes(), label[who].tobytes()), strict=True):
+                for column, value in zip(out, (bucket, pack(hashes[at]), rep[who].tobytes(), n[who].tobytes(), label[who].tobytes(), star[who].tobytes()), strict=True):
                     column.append(value)
             yield batch(_POST, out)
 
@@ -232,10 +238,10 @@ def _prefixes(columns: int):
 
 def _lists(table: pa.Table):
     hashes = np.concatenate([unpack(v) for v in table["hashes"].to_pylist()])
-    who, n, label = (np.concatenate(arrays(table[k], "<i8")) for k in ("who", "n", "label"))
+    who, n, label, star = (np.concatenate(arrays(table[k], "<i8")) for k in ("who", "n", "label", "star"))
     order = np.lexsort((who, hashes))
     starts, lengths = runs(hashes[order])
-    return order, starts, lengths, who, n, label
+    return order, starts, lengths, who, n, label, star
 
 
 _PAIR_SQL = "a long, b long, na long, nb long, hits long"
@@ -257,7 +263,7 @@ def _near(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def _stars(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Each class with the first class of each of its columns."""
-    order, starts, lengths, who, n, _ = _lists(table)
+    order, starts, lengths, who, n, _, _ = _lists(table)
     head = order[np.repeat(starts, lengths)]
     keep = (who[order] != who[head]) & _near(n[order], n[head])
     a, b = head[keep], order[keep]
@@ -265,16 +271,16 @@ def _stars(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _products(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """All products of a column block between different components and within the size bound."""
-    order, starts, lengths, who, n, label = _lists(table)
+    """All products of a column block between different components and stars, within the size bound."""
+    order, starts, lengths, who, n, label, star = _lists(table)
     held, size = [], 0
     for s, m in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
         rows = order[s : s + m]
-        if (label[rows] == label[rows[0]]).all():
+        if (label[rows] == label[rows[0]]).all() or (star[rows] == star[rows[0]]).all():
             continue
         for i in range(m - 1):
             rest = rows[i + 1 :]
-            rest = rest[(label[rest] != label[rows[i]]) & _near(n[rest], n[rows[i]])]
+            rest = rest[(label[rest] != label[rows[i]]) & (star[rest] != star[rows[i]]) & _near(n[rest], n[rows[i]])]
             if len(rest):
                 held.append((np.full(len(rest), rows[i]), rest))
                 size += len(rest)
@@ -287,8 +293,8 @@ def _products(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield _summed(who[a], who[b], n[a], n[b])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by the overlap of whole sets. Every set travels once for each of its pairs on side b only."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the overlap of whole sets: a, b, na, nb, both. Side b's set travels once for each of its pairs."""
     left = sets.select(F.col("rep").alias("a"), F.col("ordered").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("ordered").alias("sb"))
 
@@ -299,11 +305,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 len(np.intersect1d(unpack(x), unpack(y)))
                 for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)
             ]
-            both = np.array(both, np.int64)
-            good = OF * both >= NEED * (na + nb - both)
-            yield batch([("a", pa.int64()), ("b", pa.int64())], [a[good], b[good]])
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+            yield batch(_PAIR, [a, b, na, nb, both])
+
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, _PAIR_SQL).withColumnRenamed("hits", "both")
+
+
+def _links() -> Column:
+    return F.expr(f"{OF} * both >= {NEED} * (na + nb - both)")
+
+
+_EDGE = [("a", pa.int64()), ("b", pa.int64())]
+
+
+def _multiply(rows: pa.Table, columns: pa.Table) -> pa.Table:
+    """The links of one block of a star's product: rows outside the centre's component with all columns of the block."""
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    if rows.num_rows and columns.num_rows:
+        sets = [unpack(v) for v in columns["ordered"].to_pylist()]
+        rep, n, label = (columns[k].to_numpy() for k in ("rep", "n", "label"))
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+        for r, m, own, raw in zip(*(rows[k].to_pylist() for k in ("rep", "n", "label", "ordered")), strict=True):
+            flags = np.zeros(len(known), np.int32)
+            mine = unpack(raw)
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            flags[at[known[at] == mine]] = 1
+            both = np.add.reduceat(flags[code], starts)
+            good = (label != own) & (OF * both >= NEED * (n + m - both))
+            found[0].append(rep[good])
+            found[1].append(np.full(int(good.sum()), r))
+    return pa.Table.from_batches([batch(_EDGE, [np.concatenate(x) for x in found])])
+
+
+def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links inside stars whose members are not yet in one component.
+
+    A star is a centre and the classes near it. Members in the centre's component need no product with each other; every
+    other member meets all members, block by block. Only links leave a block, never the pairs that were compared.
+    """
+    members = stars.select(F.col("a").alias("star"), F.col("b").alias("rep"))
+    members = members.unionByName(members.select("star", F.col("star").alias("rep")).distinct())
+    named = members.join(classes.select("rep", "n", "ordered"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("label", F.coalesce("label", "rep"))
+    facts = named.groupBy("star").agg(
+        F.count("*").alias("size"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.max(F.when(F.col("rep") == F.col("star"), F.col("label"))).alias("centre"),
+    ).where("low <> high")
+    mixed_stars = named.join(facts.select("star", "size", "centre"), "star").withColumn(
+        "blocks", F.ceil(F.col("size") / F.lit(BLOCK_COLUMNS)).cast("int")
+    )
+    columns = mixed_stars.select("star", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "n", "label", "ordered")
+    rows = mixed_stars.where("label <> centre").select(
+        "star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "label", "ordered"
+    )
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides have one origin
+    return fresh(rows).groupBy("star", "block").cogroup(fresh(columns).groupBy("star", "block")).applyInArrow(_multiply, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,22 +400,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int |
     classes = checkpointed(classes)
     sets = classes.select("rep", "ordered")
 
-    def product(step, labels: DataFrame | None) -> DataFrame:
-        named = classes.withColumn("label", F.col("rep")) if labels is None else classes.join(
-            labels.withColumnRenamed("node", "rep"), "rep", "left"
-        ).withColumn("label", F.coalesce("label", "rep"))
-        posts = named.select("rep", "n", "label", "ordered").mapInArrow(_prefixes(n), _POST_SQL)
+    def product(step, labels: DataFrame | None, near: DataFrame | None) -> DataFrame:
+        named = classes.withColumns({"label": F.col("rep"), "star": F.col("rep")})
+        if labels is not None:
+            named = (
+                classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                .join(near.select(F.col("b").alias("rep"), F.col("a").alias("star")), "rep", "left")
+                .withColumns({"label": F.coalesce("label", "rep"), "star": F.coalesce("star", "rep")})
+            )
+        posts = named.select("rep", "n", "label", "star", "ordered").mapInArrow(_prefixes(n), _POST_SQL)
         found = grouped(posts, "bucket", n, step, _PAIR_SQL)
         return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
 
-    stars = product(_stars, None).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("hits", -F.col("a"))).alias("p"))
-    first = checkpointed(_verified(stars.select("p.a", "b", "p.na", "p.nb"), sets))
+    stars = product(_stars, None, None).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("hits", -F.col("a"))).alias("p"))
+    met = checkpointed(_compared(stars.select("p.a", "b", "p.na", "p.nb"), sets))
+    first = met.where(_links()).select("a", "b")
+    near = met.where(f"100 * both >= {CLOSE} * (na + nb - both)").select("a", "b")
     labels = components(first)
+    inner = checkpointed(_star_products(near, labels, classes))
+    edges = first.unionByName(inner)
+    if inner.take(1):
+        labels = components(edges)
     rest = lambda k: F.ceil(F.lit(NEED) * F.col(f"n{k}") / F.lit(OF)) - 1  # noqa: E731  what is left behind the prefix
     bound = F.ceil(F.lit(NEED) * (F.col("na") + F.col("nb")) / F.lit(OF + NEED))
     possible = F.col("hits") + F.greatest(rest("a"), rest("b")) >= bound
-    others = checkpointed(_verified(product(_products, labels).where(possible), sets))
-    final = components(first.unionByName(others)) if others.take(1) else labels
+    others = checkpointed(_compared(product(_products, labels, near).where(possible), sets).where(_links()).select("a", "b"))
+    final = components(edges.unionByName(others)) if others.take(1) else labels
     named = classes.select("n", "one", "two", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return rows.select("id", "n", "one", "two").join(
         named.select("n", "one", "two", "rep", F.coalesce("label", "rep").alias("label")), ["n", "one", "two"], "left"
