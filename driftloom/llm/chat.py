@@ -66,7 +66,8 @@ def fold(
     log = log.withColumn("starts", F.col("kind").isin("message", "regenerate") | (F.col("n") == 1))
     log = log.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "seq", "starts").orderBy("n")))
     own = F.struct(F.col("seq").alias("seq"), F.col("nth").alias("nth"))
-    latest = F.last(F.when(F.col("starts"), own), ignorenulls=True).over(order)
+    so_far = Window.partitionBy("conv").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(F.when(F.col("starts"), own), ignorenulls=True).over(so_far)
     aimed = F.struct(F.col("target").alias("seq"), F.lit(1).alias("nth"))
     next_kind = F.lead("kind").over(Window.partitionBy("conv", "starts").orderBy("n"))
     log = log.withColumns(
