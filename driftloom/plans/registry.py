@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import cooccur, dedup, domains, graph, scoring, text, timeseries, vectors
+from driftloom.operators import cooccur, dedup, domains, graph, rules, scoring, text, timeseries, vectors
 from driftloom.sources.tables import table
 
 from .adapters import BASKETS, EDGES, ISSUES, WEIGHT, WEIGHTS, baskets, edges, events, issues, nodes, runs
@@ -134,6 +134,20 @@ def queries() -> dict[str, Query]:
         "decay_slope": lambda s, d: domains.decay_slope(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
         "domain_interval_stats": lambda s, d: domains.domain_contacts(edges(s, d), _domains(s, d), "src", "dst"),
         "vote_groups": _votes,
+        "normalized_messages": lambda s, d: rules.normalized_messages(events(s, d), "props"),
+        "character_entropy": lambda s, d: rules.character_entropy(table(s, d, "part"), "p_name"),
+        "frequent_tokens": lambda s, d: rules.frequent_tokens(table(s, d, "part"), "p_name", 0.05),
+        "arithmetic_progressions": lambda s, d: rules.progressions(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", "l_linenumber"),
+        "contact_by_distance": lambda s, d: table(s, d, "lineitem").select("l_quantity").distinct().select(
+            "l_quantity", F.round(rules.contact(F.col("l_quantity")), 6).alias("probability")
+        ),
+        "quota_sample": lambda s, d: rules.quota_sample(events(s, d), "event_type", "event_id", 10),
+        "empirical_significance": lambda s, d: rules.significance(_distances(s, d)),
+        "cross_module_pairs": lambda s, d: rules.cross_group_pairs(table(s, d, "embeddings"), "vec_id", "embedding", "label", 0.3),
+        "recent_average": lambda s, d: rules.recent_average(events(s, d), "user_id", "ts", "value", "event_id"),
+        "undefined_references": lambda s, d: rules.unmatched(
+            table(s, d, "events").select(F.col("user_id").alias("id")), table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")), "id"
+        ),
     }
 
 
@@ -263,4 +277,19 @@ def oracle_sql() -> dict[str, str]:
             from edges join d p on src between p.low and p.high join d q on dst between q.low and q.high group by 1""",
         "vote_groups": """with p as (select s_suppkey as m, s_nationkey::varchar as x, n_regionkey::varchar as y, floor(s_acctbal / 1000)::varchar as z from supplier join nation on s_nationkey = n_nationkey)
             select p.m as a, q.m as b, ((p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int)::bigint as votes from p join p q on p.m < q.m where (p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int >= 2""",
+        "normalized_messages": """select regexp_replace(regexp_replace(coalesce(props, ''), '[0-9]+', 'N', 'g'), '"[^"]*"', '""', 'g') as form, count(*) as rows from events group by 1""",
+        "character_entropy": """with n as (select distinct p_name as name from part), c as (select name, unnest(string_split(name, '')) as c from n), k as (select name, c, count(*) as n from c group by 1, 2),
+            p as (select name, n / sum(n) over (partition by name) as p from k) select name, round(-sum(p * log2(p)), 4) as entropy from p group by 1""",
+        "frequent_tokens": """with n as (select distinct p_name as name from part), t as (select name, unnest(list_distinct(string_split(name, ' '))) as token from n)
+            select token, count(*) as names from t group by 1 having count(*) >= 0.05::double * (select count(*) from n)""",
+        "arithmetic_progressions": """with s as (select l_orderkey, l_linenumber - lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) as s from lineitem)
+            select l_orderkey, count(*) as n, min(s) = max(s) as perfect from s group by 1 having count(*) >= 2""",
+        "contact_by_distance": "select distinct l_quantity, round(least(1.0::double, pow(l_quantity + 1e-6, -1.2)), 6) as probability from lineitem",
+        "quota_sample": """with r as (select event_type, event_id, row_number() over (partition by event_type order by md5(event_id::varchar), event_id) as n, count(*) over (partition by event_type) as c from events)
+            select event_type, event_id from r where n <= greatest(1, floor(c * 10 / 100))""",
+        "empirical_significance": f"with {_DIST} select a, b, round(cume_dist() over (order by distance), 6) as p from dist",
+        "cross_module_pairs": f"""with s as (select x.label as low, y.label as high from embeddings x join embeddings y on x.label < y.label where round({_COS.format(e='')}, 6) > 0.3)
+            select low, high, count(*) as pairs, (case when count(*) > 10 then 4 when count(*) > 5 then 3 when count(*) > 2 then 2 else 1 end)::int as severity from s group by 1, 2""",
+        "recent_average": "select event_id, round(avg(round(100 * value)::bigint) over (partition by user_id order by ts, event_id rows between 9 preceding and current row), 4) as mean from events",
+        "undefined_references": "select user_id as id, count(*) as uses from events where user_id not in (select c_custkey from customer where c_acctbal > 0) group by 1",
     }
