@@ -55,6 +55,7 @@ def attribute(docs: DataFrame, sections: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             out = [[] for _ in _OUT]
+            encoder(tokenizer).learn_places(texts)
             keys, starts, ends = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("key", "starts", "ends"))
             for k, a, z, raw in zip(keys, starts, ends, texts, strict=True):
                 first, last = encoder(tokenizer).places(raw)

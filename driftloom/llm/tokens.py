@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: The id that ends each document.
 END = 2
 #: Words that a worker's cache holds before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -26,6 +27,23 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Letters below this one lower-case alike everywhere and are never changed by normal form C.
+_PLAIN_END = "\u0250"
+
+
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones themselves, others from 256 up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in printable}
+    letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in letters)}
+    return [letters[b] for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+#: Characters of new words that the library gets in one string.
+_TOGETHER = 32_768
+
+
 class WordEncoder:
     """Encodes texts given as UTF-8 bytes. ``path`` is the tokenizer's file; null looks it up on the worker."""
 
@@ -34,33 +52,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.known: dict[bytes, np.ndarray] = {}
-        self.cores: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
         self.spans: dict[bytes, np.ndarray] = {}
 
-    def _library(self, words: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in found]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """New words. An ASCII word that ends in marks after a letter is its lower-case core and its marks.
-
-        The library splits between a letter and a mark other than the apostrophe, and lower-cases, so both are exact.
+    def _library(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and code-point spans of words. They go to the library in long strings; offsets tell the words apart."""
+        at = 0
+        while at < len(words):
+            texts, size = [], 0
+            while at < len(words) and size < _TOGETHER:
+                texts.append(words[at].decode())
+                size += len(texts[-1]) + 1
+                at += 1
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, spans = np.array(found.ids, "<u4"), np.array(found.offsets, np.int64).reshape(-1, 2)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            edges = np.searchsorted(spans[:, 0], starts)
+            for k, start in enumerate(starts[:-1]):
+                own = slice(edges[k], edges[k + 1])
+                yield ids[own], spans[own] - start
+
+    def _core(self, w: bytes) -> tuple[bytes, bytes]:
+        """A word as a lower-case core and trailing marks that the library encodes apart, or the word whole.
+
+        The library splits between a letter and a mark other than the apostrophe, and lower-cases letters one by one;
+        for the letters below ``_PLAIN_END`` that is what ``lower`` does.
         """
-        cut = []
-        for w in words:
-            if b"<|" in w:  # may hold a special token, which the library seeks before it lower-cases
-                cut.append((w, b""))
+        if b"<|" in w:  # may hold a special token, which the library seeks before it lower-cases
+            return w, b""
+        core = w.rstrip(b".,!?%$*&#|")
+        if w.isascii():
+            return (core.lower(), w[len(core) :]) if core and core[-1:].isalpha() else (w.lower(), b"")
+        letters = core.decode()
+        if letters.isalpha() and max(letters) < _PLAIN_END and "\u0130" not in letters:
+            return letters.lower().encode(), w[len(core) :]
+        return w, b""
+
+    def _encode_parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of cores and marks. Lower-case letters alone are one pre-token as they are, so the library's model takes
+        them at once; all else goes through the whole tokenizer."""
+        model, others = self.tokenizer.model, []
+        for part in parts:
+            if part.isalpha() and part.islower():
+                yield part, np.array([t.id for t in model.tokenize(part.decode())], "<u4").tobytes()
                 continue
-            core = w.rstrip(b".,!?%$*&#|") if w.isascii() else w
-            if core and core != w and core[-1:].isalpha():
-                cut.append((core.lower(), w[len(core) :]))
+            letters = part.decode()
+            if letters.isalpha() and letters.islower() and max(letters) < _PLAIN_END:
+                spelled = "".join(map(_BYTE_LETTERS.__getitem__, part))
+                yield part, np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
             else:
-                cut.append((w.lower() if w.isascii() else w, b""))
-        parts = list(dict.fromkeys(p for pair in cut for p in pair if p and p not in self.cores))
-        self.cores.update(zip(parts, self._library(parts), strict=True))
-        for w, (core, marks) in zip(words, cut, strict=True):
-            self.known[w] = np.concatenate([self.cores[core], self.cores[marks]]) if marks else self.cores[core]
+                others.append(part)
+        for part, (ids, _) in zip(others, self._library(others), strict=True):
+            yield part, ids.tobytes()
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        cores, known = self.cores, self.known
+        cut = [(w, *self._core(w)) for w in words]
+        cores.setdefault(b"", b"")
+        cores.update(self._encode_parts(list({c for _, c, _ in cut}.union(m for _, _, m in cut).difference(cores))))
+        for w, core, marks in cut:
+            known[w] = cores[core] + cores[marks]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit integers, with ``END`` last."""
@@ -70,19 +122,13 @@ class WordEncoder:
         split = [t.split() for t in texts]
         fresh = set().union(*split).difference(self.known) if split else set()
         if fresh:
-            self._learn(sorted(fresh))
-        known, end = self.known, np.array([END], np.uint32)
-        return [np.concatenate([*map(known.__getitem__, words), end]) for words in split]
-
+            self._learn(fresh)
+        find, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
+        return [np.frombuffer(b"".join([*map(find, words), end]), "<u4") for words in split]
 
     def places(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token of a text, in code points of the text; the end id has none."""
-        if len(self.spans) > CACHED_WORDS:
-            self.spans.clear()
         words = text.split()
-        fresh = sorted(set(words).difference(self.spans))
-        for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.spans[w] = np.array(e.offsets, np.int64).reshape(-1, 2)
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         data = np.frombuffer(text, np.uint8)
@@ -93,6 +139,14 @@ class WordEncoder:
         spans = np.concatenate(own) + np.repeat(chars[first], [len(x) for x in own])[:, None]
         return spans[:, 0], spans[:, 1]
 
+    def learn_places(self, texts: list[bytes]) -> None:
+        """Makes the spans of all words of some texts known, which ``places`` reads."""
+        if len(self.spans) > CACHED_WORDS:
+            self.spans.clear()
+        fresh = list(set().union(*(t.split() for t in texts)).difference(self.spans)) if texts else []
+        for word, (_, spans) in zip(fresh, self._library(fresh), strict=True):
+            self.spans[word] = spans
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> WordEncoder:
