@@ -191,12 +191,17 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns. Works row by row, without a join back."""
+    """The rows that pass, with their own columns. Works row by row, without a join back.
+
+    The place column keeps the filter above the counts: pushed below them, it would compute each count once for every
+    time that a rule names it.
+    """
     ordered = [r for r, _, _ in plan_cascade(docs, rules, key, text)]
     packed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     body = F.coalesce(F.col("_text"), F.lit(""))
     carried = profile(packed.select(F.struct("_row", "_key").alias("_both"), body.alias("_text")), "_both", "_text")
-    return judge(carried, ordered).where("kept").select("_both._row.*")
+    judged = judge(carried, ordered).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where("kept and _place >= 0").select("_both._row.*")
 
 
 ORACLE = r"""
