@@ -22,7 +22,10 @@ matter (about one in 10**9 for pairs of 500 shingles).
 
 Defined cases: documents without words or with null text have an empty set, link with nothing and are their own component;
 fewer than five words make one shingle of all words; repeated rows come back as often as they came, in one component with
-their equals; an empty table gives an empty result. Extra columns do not matter.
+their equals; an empty table gives an empty result. Extra columns do not matter. A row with a null key is a document of its
+own: inside it is known by a hash of the whole row, far below other keys (so it comes before them), its doc_id is null again in
+the result, and class_id and component_id keep the hash, so that several null keys do not become one. Repeated rows with null
+keys have equal hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import arrays, batch, grouped, mixed, runs, sized, text_chunks, word_hashes
-from .common import checkpointed
+from .common import checkpointed, free_name
 
 WORDS = 5
 #: The threshold as a fraction of whole numbers: 100 * intersection >= 80 * union.
@@ -114,6 +117,7 @@ def _packets(columns: int, rows: int):
             n = np.array([len(s) for s in sets], np.int64)
             one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             two = np.array([mixed(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64) for s in sets], np.uint64)
+            missing = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             uids = mixed(ids.view(np.uint64)) ^ one
             low = np.concatenate(sets) & np.uint64(0xFFFFFFFFFFFF)
             owner = np.repeat(np.arange(len(sets)), n)
@@ -141,7 +145,7 @@ def _packets(columns: int, rows: int):
             for block, who in _split(blocks, rows):
                 m = edges[who + 1] - edges[who]
                 own = np.concatenate([warm[edges[w] : edges[w + 1]] for w in who])
-                facts = np.stack([n[who].view(np.uint64), one[who], two[who]]).astype("<u8").tobytes()
+                facts = np.stack([n[who].view(np.uint64), one[who], two[who], missing[who]]).astype("<u8").tobytes()
                 put(block % columns, block, who, m, low[own], np.full(len(own), _MOST).tobytes(), facts)
             yield batch(_PACKET, out)
 
@@ -184,8 +188,11 @@ def _count(columns: int, rows: int):
     return run
 
 
-_DOC_SQL = "id long, n long, one long, two long, shared long, ordered binary"
-_DOC = [("id", pa.int64()), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("shared", pa.int64()), ("ordered", pa.binary())]
+_DOC_SQL = "id long, n long, one long, two long, missing long, shared long, ordered binary"
+_DOC = [
+    ("id", pa.int64()), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("missing", pa.int64()), ("shared", pa.int64()),
+    ("ordered", pa.binary()),
+]
 
 
 def _assemble(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -202,13 +209,13 @@ def _assemble(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
         for ids, own, facts in zip(arrays(row["ids"], "<i8"), arrays(row["uids"], "<u8"), row["facts"].to_pylist(), strict=True):
             if not facts:
                 continue
-            n, one, two = np.frombuffer(facts, "<u8").reshape(3, -1)
+            n, one, two, missing = np.frombuffer(facts, "<u8").reshape(4, -1)
             low, high = np.searchsorted(uids, own), np.searchsorted(uids, own, side="right")
             blobs = [
                 pack(hashes[a:b]) if k and OF * (b - a) >= NEED * k else None
                 for a, b, k in zip(low, high, n.astype(np.int64), strict=True)
             ]
-            yield batch(_DOC, [ids, n.view(np.int64), one.view(np.int64), two.view(np.int64), high - low, blobs])
+            yield batch(_DOC, [ids, n.view(np.int64), one.view(np.int64), two.view(np.int64), missing.view(np.int64), high - low, blobs])
 
 
 _POST_SQL = "bucket int, hashes binary, who binary, n binary, label binary, star binary"
@@ -385,11 +392,18 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def _identity(docs: DataFrame, key: str) -> Column:
+    """The key as a long; for a null key a hash of the whole row, from -2**63 up to -2**62."""
+    row = F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]))
+    hashed = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(row), 2)
+    return F.coalesce(F.col(key).cast("long"), hashed)
+
+
+def _joined(docs: DataFrame, key: str, text: str, units: int | None) -> DataFrame:
+    """One row per document: id (see ``_identity``), missing (1 for a null key), n_shingles, class_id, component_id."""
+    slim = docs.select(_identity(docs, key).alias("id"), F.col(text).alias("text"), F.col(key).isNull().alias("missing"))
     if units is None:
-        units = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 + 1
+        units = (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // 6 + 1
     n = sized(docs, units, PER_BLOCK)
     packets = slim.mapInArrow(_packets(n, n), _PACKET_SQL)
     counted = grouped(packets, "bucket", n, _count(n, n), _PACKET_SQL)
@@ -427,20 +441,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int |
     others = checkpointed(_compared(product(_products, labels, near).where(possible), sets).where(_links()).select("a", "b"))
     final = components(edges.unionByName(others)) if others.take(1) else labels
     named = classes.select("n", "one", "two", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return rows.select("id", "n", "one", "two").join(
+    return rows.select("id", "missing", "n", "one", "two").join(
         named.select("n", "one", "two", "rep", F.coalesce("label", "rep").alias("label")), ["n", "one", "two"], "left"
     ).select(
-        F.col("id").alias("doc_id"),
+        "id",
+        "missing",
         F.col("n").alias("n_shingles"),
         F.coalesce("rep", "id").alias("class_id"),
         F.coalesce("label", "id").alias("component_id"),
     )
 
 
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
+    found = _joined(docs, key, text, units)
+    return found.select(F.when(F.col("missing") == 0, F.col("id")).alias("doc_id"), "n_shingles", "class_id", "component_id")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the first of their component, with their own columns; repeated rows of those once."""
-    found = checkpointed(join(docs, key, text))
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(firsts.distinct(), F.col(key) == F.col("_first"), "left_semi")
+    found = checkpointed(_joined(docs, key, text, None))
+    firsts = found.where("id = component_id").select(F.col("id").alias("_first"))
+    own = free_name(docs, "_own")
+    kept = docs.withColumn(own, _identity(docs, key)).join(firsts.distinct(), F.col(own) == F.col("_first"), "left_semi")
     repeated = firsts.groupBy("_first").count().where("count > 1").take(1)
-    return kept.dropDuplicates([key]) if repeated else kept
+    return (kept.dropDuplicates([own]) if repeated else kept).drop(own)
