@@ -133,6 +133,7 @@ def queries() -> dict[str, Query]:
         "contact_probability": lambda s, d: domains.contact_decay(table(s, d, "lineitem"), "l_quantity", "l_discount", (5.0, 10.0, 20.0, 40.0)),
         "decay_slope": lambda s, d: domains.decay_slope(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
         "domain_interval_stats": lambda s, d: domains.domain_contacts(edges(s, d), _domains(s, d), "src", "dst"),
+        "domain_interval_stats_all": lambda s, d: domains.width_contacts(edges(s, d), 600, "src", "dst"),
         "vote_groups": _votes,
         "normalized_messages": lambda s, d: rules.normalized_messages(events(s, d), "props"),
         "character_entropy": lambda s, d: rules.character_entropy(table(s, d, "part"), "p_name"),
