@@ -128,6 +128,7 @@ def queries() -> dict[str, Query]:
         "orphan_nodes": lambda s, d: graph.orphans(nodes(s, d), edges(s, d)),
         "reciprocal_edges": lambda s, d: graph.reciprocal(edges(s, d)),
         "influence_2hop": lambda s, d: graph.influence(edges(s, d), 2),
+        "influence_3hop": lambda s, d: graph.influence(edges(s, d)),
         "layer_violations": lambda s, d: graph.layer_violations(edges(s, d), _layers(s, d)),
         "tad_cohesion": lambda s, d: domains.cohesion(edges(s, d), _layers(s, d).withColumnRenamed("layer", "group")),
         "contact_probability": lambda s, d: domains.contact_decay(table(s, d, "lineitem"), "l_quantity", "l_discount", (5.0, 10.0, 20.0, 40.0)),

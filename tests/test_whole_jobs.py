@@ -1,21 +1,18 @@
 """Queries that do the whole job where a twin's SQL bounds the older one, against brute force."""
 
 import os
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from driftloom.operators import domains
+from driftloom.operators import domains, graph
 from driftloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
-def _plain(name, columns):
-    return duckdb.sql(f"select {columns} from '{SF}/{name}.parquet'").fetchall()
-
-
 def test_every_edge_falls_in_a_domain(spark):
     ends = duckdb.sql(f"select l_suppkey a, l_partkey b from '{SF}/lineitem.parquet'").df()
     got = {r.kind: r for r in registry.queries()["domain_interval_stats_all"](spark, SF).collect()}
@@ -32,3 +29,30 @@ def test_domains_cover_any_id(spark):
     pairs = spark.createDataFrame([(-1, 0), (-600, -1), (599, 0), (600, 599), (10**12, 10**12 + 1), (550, 560), (None, 1)], "a long, b long")
     got = {r.kind: r.contacts for r in domains.width_contacts(pairs, 600, "a", "b").collect()}
     assert got == {"inter": 2, "intra": 4}
+
+
+def _influence(ends, hops):
+    back, reached, weight = defaultdict(set), Counter(), Counter()
+    for a, b in ends:
+        back[b].add(a)
+    for node in back:
+        seen, front = {node}, {node}
+        for hop in range(1, hops + 1):
+            front = set().union(*(back.get(x, set()) for x in front)) - seen
+            seen |= front
+            reached[node] += len(front)
+            weight[node] += len(front) / hop
+    return {k: (n, pytest.approx(weight[k], abs=1e-4)) for k, n in reached.items() if n}
+
+
+def test_influence_reaches_three_hops(spark):
+    ends = duckdb.sql(f"select distinct l_suppkey a, l_partkey b from '{SF}/lineitem.parquet'").df()
+    got = {r.node: (r.reached, r.influence) for r in registry.queries()["influence_3hop"](spark, SF).collect()}
+    assert got == _influence(list(zip(ends.a.tolist(), ends.b.tolist(), strict=True)), 3)
+
+
+def test_influence_of_a_chain(spark):
+    chain = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 3)]
+    got = {r.node: (r.reached, r.influence) for r in graph.influence(spark.createDataFrame(chain, "src long, dst long")).collect()}
+    assert got == _influence(chain, 3)
+    assert got[4] == (4, pytest.approx(1 + 1 / 2 + 1 / 2 + 1 / 3, abs=1e-4))
