@@ -94,6 +94,7 @@ def queries() -> dict[str, Query]:
         "consolidation_summary": lambda s, d: dedup.consolidation(dedup.exact_groups(table(s, d, "documents"), "doc_id", "text")),
         "shingle_jaccard_pairs": lambda s, d: dedup.shingle_pairs(table(s, d, "part"), "p_partkey", "p_name", 3, 0.2),
         "name_levenshtein_pairs": lambda s, d: dedup.name_pairs(table(s, d, "part"), "p_name", 5),
+        "name_levenshtein_all_pairs": lambda s, d: dedup.edit_pairs(table(s, d, "part"), "p_name", 5),
         "minhash_signatures": lambda s, d: dedup.minhash(table(s, d, "benchmark"), "item_id", "text"),
         "lsh_bucket_stats": lambda s, d: dedup.band_stats(_bands(s, d)),
         "lsh_candidate_pairs": lambda s, d: dedup.candidate_pairs(_bands(s, d), "item_id"),

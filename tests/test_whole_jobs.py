@@ -1,12 +1,13 @@
 """Queries that do the whole job where a twin's SQL bounds the older one, against brute force."""
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from driftloom.operators import domains, graph
+from driftloom.operators import dedup, domains, graph
 from driftloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -56,3 +57,30 @@ def test_influence_of_a_chain(spark):
     got = {r.node: (r.reached, r.influence) for r in graph.influence(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert got == _influence(chain, 3)
     assert got[4] == (4, pytest.approx(1 + 1 / 2 + 1 / 2 + 1 / 3, abs=1e-4))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _close(names, most):
+    return sorted((a, b, _edits(a, b)) for a in names for b in names if a < b and _edits(a, b) <= most)
+
+
+def test_edit_pairs_lose_none(spark):
+    names = [r[0] for r in duckdb.sql(f"select distinct p_name from '{SF}/part.parquet'").fetchall()]
+    got = registry.queries()["name_levenshtein_all_pairs"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == _close(names, 5)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_edit_pairs_of_short_and_odd_names(spark, most):
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in range(70)} | {"\U0001d11eab", "ab", "xab"}
+    rows = spark.createDataFrame([(n,) for n in [*names, None, "ab"]], "name string")
+    assert sorted(map(tuple, dedup.edit_pairs(rows, "name", most).collect())) == _close(names, most)
