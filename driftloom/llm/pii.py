@@ -44,6 +44,8 @@ LOOSE = {
     "card": r"(?<![0-9])(?:[0-9][\x20._/-]{0,2}){12,18}[0-9](?![0-9])",
     "phone": r"(?<![0-9])(?:00|\()?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,5}\)?){2,4}(?![0-9])",
 }
+#: What every pattern above implies.
+ANY = r"[0-9@]|\x20at\x20|[(\[]at[)\]]|(?:[0-9A-Fa-f]{1,4}:){7}"
 HINTS = r"(?i)(?:mail|tel|phone|call|fax|contact|card|visa|ip|addr|pay)[^\n]{0,12}$"
 FEATURES = (
     "loose", "kind", "length", "digits", "letters", "spaces", "marks", "luhn", "plus", "at", "before_space", "after_space",
@@ -183,7 +185,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         *[_found(F.col("_t"), BASE[k], k, False) for k in KINDS], *[_found(F.col("_t"), LOOSE[k], k, True) for k in KINDS]
     )
     bodies = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), body.alias("_t"))
-    rows = bodies.select("row", "key", "_t", F.when(F.col("_t").rlike(r"[0-9@]| at "), found).alias("_found"))
+    rows = bodies.select("row", "key", "_t", F.when(F.col("_t").rlike(ANY), found).alias("_found"))
     sure = F.filter("_found", lambda c: _passes(c))
     both = rows.select("row", "key", "_t", F.when(F.size("_found") > 0, F.struct(F.col("_found").alias("all"), _ordered(sure).alias("base"))).alias("_both"))
     measured = let(F.col("_both"), lambda v: F.transform(v["all"], lambda c: _measured(c, v["base"])))
