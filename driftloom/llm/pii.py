@@ -3,8 +3,12 @@
 ``candidates`` proposes spans with high recall: the base patterns and looser, overlapping ones. A base span that passes its
 check stays whatever the model says. Every other candidate gets the boosted trees' score from its format (length, digits,
 separators, check digit) and context (neighbouring characters, hint words) and is redacted from its kind's threshold up.
-The trees are fitted on a bounded sample of candidates that the base checks label, the thresholds on the sample's
-held-out half. Scoring is one expression inside the row: no shuffle, no join, no Python on the executors.
+Features are measured behind a mask: what makes a pattern a base or a loose one (+, 00, @, at, dot, separators of cards) does
+not show. The trees are fitted on a bounded sample: positive are the base spans that pass, rewritten into loose forms in
+their own context (``_loosened``); negative are lookalikes in the same contexts (``_decoys``), base spans that fail, and the
+loose candidates that meet no base span, unless these look like positives to a fit without them. Thresholds come from the held-out
+half, without the base spans, which stay anyway.
+Scoring is one expression inside the row: no shuffle, no join, no Python on the executors.
 
 Patterns are written so that matching is linear: possessive loops do not recurse, and look-behinds keep a failed run from
 being tried again from each of its characters.
@@ -15,11 +19,12 @@ an empty table gives an empty result and a model that adds nothing. Extra column
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
@@ -29,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that are read for the training sample, about, and candidates that are collected at most.
 SAMPLE_DOCS = 20_000
 SAMPLE_CANDIDATES = 6_000
+#: Base spans of each kind that are rewritten for the fit at most.
+PLANTED = 150
 PRECISION = 0.95
 
 BASE = {
@@ -46,11 +53,15 @@ LOOSE = {
 }
 #: What every pattern above implies.
 ANY = r"[0-9@]|\x20at\x20|[(\[]at[)\]]|(?:[0-9A-Fa-f]{1,4}:){7}"
+#: A mail whose marks are spelled in a way that prose is not.
+SPELLED = r"[(\[](?:at|dot)[)\]]|\x20dot\x20|\x20@\x20"
 HINTS = r"(?i)(?:mail|tel|phone|call|fax|contact|card|visa|ip|addr|pay)[^\n]{0,12}$"
 FEATURES = (
-    "loose", "kind", "length", "digits", "letters", "spaces", "marks", "luhn", "plus", "at", "before_space", "after_space",
-    "before_word", "hint", "overlaps",
+    "kind", "length", "digits", "letters", "spaces", "marks", "luhn", "domain", "wide", "dialled", "spelled",
+    "before_space", "after_space", "before_word", "hint",
 )
+#: Share of the positives that a first fit may put below a loose candidate before that counts as one of them.
+SPY = 0.1
 _BLOCK = 512
 
 
@@ -157,24 +168,45 @@ def _passes(c: Column) -> Column:
     )
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))).cast("double")
+def _count(c: Column, pattern: str, rest: bool = False) -> Column:
+    """Characters that a pattern takes, or those it leaves."""
+    left = F.length(F.regexp_replace(c, pattern, ""))
+    return (left if rest else F.length(c) - left).cast("double")
+
+
+def _masked(c: Column) -> Column:
+    """A candidate's value without the marks that tell base and loose patterns apart."""
+    value = c["value"]
+    mail = F.regexp_replace(value, r"\x20?[(\[]at[)\]]\x20?|\x20(?:at|@)\x20", "@")
+    return (
+        F.when(c["kind"] == 0, F.regexp_replace(mail, r"\x20?[(\[]dot[)\]]\x20?|\x20dot\x20", "."))
+        .when(c["kind"] == 2, F.regexp_replace(value, r"[\x20._/-]+", ""))
+        .when(c["kind"] == 3, F.regexp_replace(value, r"^(?:\+|00)", ""))
+        .otherwise(value)
+    )
 
 
 def _measured(c: Column, base: Column) -> Column:
-    """A candidate with its feature vector, whether a base check passes, and whether a base span holds it."""
+    """A candidate with its feature vector, whether a base check passes, and whether a base span holds it or meets it."""
     meets = _reach(base, c["end"]) > c["start"]
-    value, flag = c["value"], lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    vector = [
-        flag(c["loose"]), c["kind"].cast("double"), F.length(value).cast("double"), _count(value, "[0-9]+"), _count(value, r"\p{L}+"),
-        _count(value, r"\x20+"), _count(value, r"[().:/_-]+"), flag(_luhn(value)), flag(value.startswith("+")), flag(value.contains("@")),
-        flag(c["before"].rlike(r"(?:^|\s)$")), flag(c["after"].rlike(r"^(?:$|\s|[.,;!?])")), flag(c["before"].rlike(r"[\p{L}\p{N}]$")),
-        flag(c["before"].rlike(HINTS)), flag(meets & c["loose"]),
-    ]
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    of = lambda kind, x: flag((c["kind"] != KINDS.index(kind)) | x)
+
+    def vector(value: Column) -> Column:
+        digits = _count(value, "[^0-9]+", rest=True)
+        return F.array(
+            c["kind"].cast("double"), F.length(value).cast("double"), digits, _count(value, r"\p{L}+"), _count(value, r"\x20+"),
+            _count(value, r"[().:_/-]+"), of("card", _luhn(value)), of("email", value.rlike(r"\.[a-z]{2,}$|\.[A-Z]{2,}$")),
+            of("ip", value.rlike("[0-9A-Fa-f]{3}")), of("phone", digits.between(8, 15)), flag(c["value"].rlike(SPELLED)),
+            flag(c["before"].rlike(r"(?:^|\s)$")), flag(c["after"].rlike(r"^(?:$|\s|[.,;!?])")), flag(c["before"].rlike(r"[\p{L}\p{N}]$")),
+            flag(c["before"].rlike(HINTS)),
+        )
+
     inside = _reach(base, c["start"] + 1) >= c["end"]
     return F.struct(
-        c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.array(*vector).alias("x"),
-        _passes(c).alias("sure"), inside.alias("inside"), meets.alias("meets"),
+        c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), let(_masked(c), vector).alias("x"),
+        _passes(c).alias("sure"), inside.alias("inside"), meets.alias("meets"), c["loose"].alias("loose"), c["value"].alias("value"),
+        c["before"].alias("before"), c["after"].alias("after"),
     )
 
 
@@ -194,30 +226,96 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         "key",
         F.col("_t").alias("text"),
         F.coalesce(F.when(F.col("_both").isNotNull(), measured), F.expr(
-            "cast(array() as array<struct<kind:int,start:bigint,end:bigint,x:array<double>,sure:boolean,inside:boolean,meets:boolean>>)"
+            "cast(array() as array<struct<kind:int,start:bigint,end:bigint,x:array<double>,sure:boolean,inside:boolean,meets:boolean,"
+            "loose:boolean,value:string,before:string,after:string>>)"
         )).alias("found"),
     )
 
 
 @dataclass(frozen=True)
 class Detector:
-    model: boosting.Model
+    """The trees and the threshold of each kind."""
+
+    models: tuple[boosting.Model, ...]
     thresholds: tuple[float, ...]
 
     def takes(self, c: Column) -> Column:
         """Whether a candidate is redacted."""
-        limit = F.lit(float("inf"))
-        for kind, at in enumerate(self.thresholds):
-            limit = F.when(c["kind"] == kind, F.lit(at)).otherwise(limit)
-        score = self.model.column(lambda j: F.get(c["x"], F.lit(j)))
-        return F.when(c["sure"], True).when(c["inside"], False).otherwise(score >= limit)
+        likely = F.lit(False)
+        for kind, (model, at) in enumerate(zip(self.models, self.thresholds, strict=True)):
+            if at < float("inf"):
+                likely = F.when(c["kind"] == kind, model.column(lambda j: F.get(c["x"], F.lit(j))) >= at).otherwise(likely)
+        return F.when(c["sure"], True).when(c["inside"], False).otherwise(likely)
+
+
+def _loosened(kind: int, value: str) -> list[str]:
+    """Loose forms of a base span's value, long and short."""
+    rng = random.Random(value)
+    if kind == 0:
+        name, host = value.split("@", 1)
+        pairs = [(name, host.strip("-")), (name[: rng.randint(2, 8)].strip("."), ".".join(host.split(".")[-2:]))]
+        forms = [("{} (at) {}", " (dot) "), ("{}[at]{}", "."), ("{} at {}", " dot "), ("{} @ {}", "."), ("{} (at) {}", ".")]
+        return [form.format(n, h.replace(".", dot)) for n, h in pairs for form, dot in forms]
+    if kind == 1:
+        group = lambda: f"{rng.randrange(16 ** rng.randint(3, 4)):x}"
+        starts = (["2001", "db8"], ["2001", "db8", "0", "0", "0", "0"], ["fe80", "0", "0", "0"], [])
+        return [":".join([*start, *[group() for _ in range(8 - len(start))]]) for start in starts]
+    digits = "".join(x for x in value if x.isdigit())
+    if kind == 2:
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [mark.join(fours) for mark in (".", "/", "_", " - ")]
+    groups = [x for x in "".join(x if x.isdigit() else " " for x in value).split(" ") if x]
+    home = groups[1:] if len("".join(groups[1:])) >= 8 else groups
+    forms = [mark.join(home) for mark in (" ", "-", ".")] + [" ".join([f"({home[0]})", "-".join(home[1:])])]
+    return [*forms, f"00{' '.join(groups)}", f"0{' '.join(home)}"] if len(home) > 1 else [f"00{' '.join(groups)}"]
+
+
+def _decoys(kind: int, value: str) -> list[str]:
+    """Clean lookalikes of a base span's value: what loose patterns also match."""
+    rng = random.Random(value)
+    if kind == 0:
+        name, host = value.split("@", 1)
+        word = "".join(x for x in host if x.isalpha()).lower() or "home"
+        words = [name, "met", word[: rng.randint(3, 8)]]
+        times = [f"{w} at {rng.randrange(24)}.{rng.randrange(10, 60)}" for w in words]
+        return [*times, *[f"{w} at {word[: rng.randint(3, 20)]}.{rng.choice(('Then', 'She', 'It', 'When'))}" for w in words]]
+    if kind == 1:
+        first, rest = value.split(".", 1)
+        eight = lambda form, most: ":".join(form.format(rng.randrange(most)) for _ in range(8))
+        return [eight("{:02d}", 60), eight("{:02x}", 256), eight("{:d}", 100), f"{int(first) + 300}.{rest}"]
+    digits = "".join(x for x in value if x.isdigit())
+    if kind == 2:
+        wrong = digits[:-1] + str((int(digits[-1]) + rng.randint(1, 9)) % 10)
+        fours = [wrong[i : i + 4] for i in range(0, len(wrong), 4)]
+        return [mark.join(fours) for mark in (".", "/", "_", " - ")] + [wrong]
+    year, month, day, hour, minute = rng.randint(1900, 2040), rng.randint(1, 12), rng.randint(1, 28), rng.randrange(24), rng.randrange(60)
+    dates = [f"{year}-{month:02d}-{day:02d}", f"{day:02d}.{month:02d}.{year}", f"{year}-{month:02d}-{day:02d} {hour:02d}.{minute:02d}"]
+    sums = [f"{rng.randint(1, 999)} {rng.randrange(1000):03d} {rng.randrange(1000):03d}", f"{rng.randint(300, 999)}.{rng.randint(10, 255)}.{rng.randint(10, 255)}.{rng.randint(10, 255)}"]
+    return [*dates, *sums, digits, str(rng.randrange(10**4, 10 ** rng.randint(5, 12)))]
+
+
+def _planted(spark: SparkSession, hits: list) -> list:
+    """Loose forms (y 1) and lookalikes (y 0) of base spans in their contexts, as the generators propose them."""
+    texts = [
+        (r.h, r.kind, y, len(r.before), r.before + value + r.after, len(value))
+        for r in hits
+        for y, values in ((1.0, _loosened(r.kind, r.value)), (0.0, _decoys(r.kind, r.value)))
+        for value in values
+    ]
+    if not texts:
+        return []
+    rows = spark.createDataFrame(texts, "h long, kind int, y double, low int, text string, size int")
+    found = candidates(rows, "h", "text").select("row", F.explode("found").alias("c")).where("c.start < row.low + row.size and c.end > row.low and not c.sure")
+    # a form is what its own kind's pattern makes of exactly it; all else that lies in a lookalike is none
+    exact = F.expr("c.kind = row.kind and c.start = row.low and c.end = row.low + row.size")
+    within = F.expr("c.start >= row.low and c.end <= row.low + row.size")
+    return found.where(F.when(F.col("row.y") == 1, exact).otherwise(within)).select("row.h", "c.x", "row.y").collect()
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Detector:
     """Fits and calibrates on at most ``SAMPLE_CANDIDATES`` candidates of about ``SAMPLE_DOCS`` documents.
 
-    A candidate is positive if a base check passes for it or for a span that it meets. Documents go to fitting or to
-    calibration by a hash of their key.
+    No label depends on whether a candidate is loose. Documents go to fitting or to calibration by a hash of their key.
     """
     total = docs.count()
     keep = max(1, total // SAMPLE_DOCS)
@@ -225,20 +323,32 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Detector:
     rows = (
         candidates(some, key, text)
         .select(F.xxhash64("key").alias("h"), F.explode("found").alias("c"))
-        .select("h", "c.x", (F.col("c.sure") | F.col("c.meets")).alias("y"), "c.start", "c.kind")
+        .select("h", "c.x", "c.sure", "c.meets", "c.loose", "c.value", "c.before", "c.after", "c.start", "c.kind")
         .orderBy(F.xxhash64("h", "start", "kind"))
         .limit(SAMPLE_CANDIDATES)
         .collect()
     )
-    x = boosting.as_matrix([r.x for r in rows], len(FEATURES))
-    y = np.array([float(r.y) for r in rows])
-    held = np.array([(r.h >> 8) % 2 == 1 for r in rows], dtype=bool)
+    hits = [r for r in rows if r.sure]
+    planted = _planted(docs.sparkSession, [r for k in range(len(KINDS)) for r in [h for h in hits if h.kind == k][:PLANTED]])
+    failed = [r for r in rows if not r.sure and not r.meets]
+    x = boosting.as_matrix([r.x for r in planted] + [r.x for r in failed], len(FEATURES))
+    y = np.array([r.y for r in planted] + [0.0] * len(failed))
+    held = np.array([(r.h >> 8) % 2 == 1 for r in [*planted, *failed]], dtype=bool)
+    wild = np.array([False] * len(planted) + [r.loose for r in failed], dtype=bool)
+    models, limits = zip(*(_fitted(x[own], y[own], held[own], wild[own]) for own in (x[:, 0] == k for k in range(len(KINDS)))), strict=True)
+    return Detector(models, limits)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray, wild: np.ndarray) -> tuple[boosting.Model, float]:
+    """Trees of one kind and their threshold. ``wild`` rows are found loose candidates, negative for want of a better label."""
+    if (y == 1).any():
+        # loose candidates that look like positives are no negatives: nothing says that they are not personal data
+        first = boosting.fit(x[~held & ~wild], y[~held & ~wild]).scores(x)
+        sound = ~wild | (first < np.quantile(first[y == 1], SPY))
+        x, y, held = x[sound], y[sound], held[sound]
     model = boosting.fit(x[~held], y[~held])
-    scores = model.scores(x[held]) if held.any() else np.zeros(0)
-    kinds = x[held][:, 1] if held.any() else np.zeros(0)
-    return Detector(
-        model, tuple(boosting.calibrate(scores[kinds == k], y[held][kinds == k], PRECISION) for k in range(len(KINDS)))
-    )
+    # nothing less likely than not is redacted, however few negatives are held out
+    return model, max(0.0, boosting.calibrate(model.scores(x[held]), y[held], PRECISION))
 
 
 def detect(docs: DataFrame, detector: Detector | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
