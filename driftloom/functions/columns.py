@@ -30,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
+def words(text: Column) -> Column:
+    """Lower-case words of a text in any script: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def sign_bits(vector: str) -> Column:
     """Bipolar form of a vector: whether each item is above zero."""
     return F.transform(vector, lambda v: (v > 0).cast("int"))

@@ -99,6 +99,8 @@ def queries() -> dict[str, Query]:
         "lsh_bucket_stats": lambda s, d: dedup.band_stats(_bands(s, d)),
         "lsh_candidate_pairs": lambda s, d: dedup.candidate_pairs(_bands(s, d), "item_id"),
         "lsh_verified_pairs": _lsh_pairs,
+        "lsh_document_pairs": lambda s, d: dedup.similar_pairs(table(s, d, "documents"), "doc_id", "text", 0.8),
+        "lsh_benchmark_pairs": lambda s, d: dedup.similar_pairs(table(s, d, "benchmark"), "item_id", "text", 0.1),
         "token_df": lambda s, d: text.document_frequency(_terms(s, d)),
         "tfidf_topk": _tfidf,
         "word_entropy": lambda s, d: text.entropy(_terms(s, d), "doc_id"),

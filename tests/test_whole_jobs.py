@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -84,3 +85,31 @@ def test_edit_pairs_of_short_and_odd_names(spark, most):
     names = {"".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in range(70)} | {"\U0001d11eab", "ab", "xab"}
     rows = spark.createDataFrame([(n,) for n in [*names, None, "ab"]], "name string")
     assert sorted(map(tuple, dedup.edit_pairs(rows, "name", most).collect())) == _close(names, most)
+
+
+def _similar(table, key, threshold):
+    rows = duckdb.sql(f"select {key}, coalesce(text, '') from '{SF}/{table}.parquet'").fetchall()
+    sets = [(k, frozenset(re.findall(r"\w+", t.lower()))) for k, t in rows]
+    pairs = {}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            small, large = sorted((len(x), len(y)))
+            if small >= threshold * large:
+                share = len(x & y) / len(x | y) if large else 1.0
+                if round(share, 6) >= threshold:
+                    pairs[min(a, b), max(a, b)] = pytest.approx(share, abs=1e-6)
+    return pairs
+
+
+@pytest.mark.parametrize(("name", "table", "key", "threshold"), [
+    ("lsh_document_pairs", "documents", "doc_id", 0.8), ("lsh_benchmark_pairs", "benchmark", "item_id", 0.1),
+])
+def test_banding_recalls_the_exact_pairs(spark, name, table, key, threshold):
+    want = _similar(table, key, threshold)
+    got = {(r.a, r.b): r.similarity for r in registry.queries()[name](spark, SF).collect()}
+    assert want and all(want.get(k) == v for k, v in got.items())
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_bands_follow_the_threshold():
+    assert [dedup.band_rows(t) for t in (0.8, 0.1, 1.0)] == [5, 1, 100]
