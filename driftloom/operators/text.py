@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.columns import tokens
 
 
-def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(rows: DataFrame, key: str, text: str, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, term, tf) rows."""
-    exploded = rows.select(F.col(key), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    exploded = rows.select(F.col(key), F.explode(split(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions.columns import words
 from driftloom.operators import cooccur, dedup, domains, graph, rules, scoring, text, timeseries, vectors
 from driftloom.sources.tables import table
 
@@ -33,6 +34,10 @@ def _tfidf(s: SparkSession, d: str) -> DataFrame:
     return text.tfidf_top(_terms(s, d), table(s, d, "documents").count(), "doc_id", 5)
 
 
+def _words(s: SparkSession, d: str) -> DataFrame:
+    return text.term_counts(table(s, d, "documents"), "doc_id", "text", words)
+
+
 def _bands(s: SparkSession, d: str) -> DataFrame:
     return dedup.bands(dedup.minhash(table(s, d, "benchmark"), "item_id", "text"), "item_id")
 
@@ -104,6 +109,9 @@ def queries() -> dict[str, Query]:
         "token_df": lambda s, d: text.document_frequency(_terms(s, d)),
         "tfidf_topk": _tfidf,
         "word_entropy": lambda s, d: text.entropy(_terms(s, d), "doc_id"),
+        "word_df": lambda s, d: text.document_frequency(_words(s, d)),
+        "word_tfidf_topk": lambda s, d: text.tfidf_top(_words(s, d), table(s, d, "documents").count(), "doc_id", 5),
+        "word_entropy_all": lambda s, d: text.entropy(_words(s, d), "doc_id"),
         "filler_pattern_hits": lambda s, d: text.pattern_hits(table(s, d, "documents"), "doc_id", "text", FILLERS),
         "cosine_topk": _near_vectors,
         "cosine_label_pairs": lambda s, d: vectors.label_pairs(table(s, d, "embeddings"), "vec_id", "embedding", "label", 0.3),

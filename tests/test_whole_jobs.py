@@ -1,5 +1,6 @@
 """Queries that do the whole job where a twin's SQL bounds the older one, against brute force."""
 
+import math
 import os
 import random
 import re
@@ -113,3 +114,21 @@ def test_banding_recalls_the_exact_pairs(spark, name, table, key, threshold):
 
 def test_bands_follow_the_threshold():
     assert [dedup.band_rows(t) for t in (0.8, 0.1, 1.0)] == [5, 1, 100]
+
+
+def test_words_of_any_script_count(spark):
+    rows = duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall()
+    counts = {k: Counter(re.findall(r"\w+", t.lower())) for k, t in rows}
+    df, uses = Counter(), Counter()
+    for c in counts.values():
+        df.update(c.keys())
+        uses.update(c)
+    got = registry.queries()["word_df"](spark, SF).collect()
+    assert {r.term: (r.df, r.uses) for r in got} == {w: (n, uses[w]) for w, n in df.items()}
+    assert any(not w.isascii() for w in df)
+    for r in registry.queries()["word_tfidf_topk"](spark, SF).where("doc_id % 20 = 0").collect():
+        weight = {w: n * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in counts[r.doc_id].items()}
+        assert r.weight == pytest.approx(weight[r.term], abs=1e-4)
+        assert sum(v > r.weight + 1e-3 for v in weight.values()) < r.nth
+    entropy = {r.doc_id: r.words for r in registry.queries()["word_entropy_all"](spark, SF).collect()}
+    assert entropy == {k: c.total() for k, c in counts.items() if c}
