@@ -40,19 +40,21 @@ def test_suffix_dedup(docs, plain, empty, monkeypatch):
         want.append((k, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     assert sorted(tuple(r) for r in suffix_dedup.dedup(docs, digest=True).collect()) == sorted(want)
     assert suffix_dedup.dedup(empty).count() == 0
+    # hot anchors go window by window
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    assert sorted(tuple(r) for r in suffix_dedup.dedup(docs, digest=True).collect()) == sorted(want)
 
 
 def test_interleave_groups_equal_prefixes():
     shards = [sorted([b"abcabcab", b"xabcabc"]), sorted([b"abcabcab", b"cabcabx"])]
     made = [suffix_dedup.transform(s) for s in shards]
-    shard, block = suffix_dedup.merge(made, 4)
-    at, seen = [0, 0], defaultdict(set)
-    for s, b in zip(shard, block, strict=True):
+    source, block = suffix_dedup.merge(made, 4)
+    half, seen = len(made[0][2]), defaultdict(set)
+    for place, b in zip(source.tolist(), block.tolist(), strict=True):
+        s, at = (0, place) if place < half else (1, place - half)
         _, text, order = made[s]
-        place = order[at[s]]
-        at[s] += 1
-        start = sum(len(t) + 1 for t in shards[s][: text[place]])
-        tail = shards[s][text[place]][place - start :]
+        start = sum(len(t) + 1 for t in shards[s][: text[order[at]]])
+        tail = shards[s][text[order[at]]][order[at] - start :]
         if len(tail) >= 4:
             seen[b].add(tail[:4])
     assert all(len(v) == 1 for v in seen.values())
