@@ -1,5 +1,8 @@
 """Token-id files: bit-plane shuffling, zstandard for each plane, a chunk index.
 
+Texts are encoded where they are scanned; only ids travel from there, two bytes each where the vocabulary allows it. They
+are stored once, so that finding the key ranges does not encode again, and range-sorted by key.
+
 A file holds the ids of consecutive documents in ascending key order. Ids are cut into chunks of ``CHUNK_IDS``; a chunk's
 32-bit integers are transposed into byte planes (all lowest bytes first), every plane is compressed on its own, and a
 plane that holds one value only is stored as that value. The index at the end has the offset and id count of each chunk
@@ -22,15 +25,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import batch, text_chunks
-from .common import parts, shared_dir
+from .common import drop_dir, parts, shared_dir
 from .tokens import encoder
 
 MAGIC = b"TOKPLANE"
 CHUNK_IDS = 65_536
 #: Ids that one stored file holds, about; a longer document has a file of its own.
 FILE_IDS = 4_000_000
-#: Bytes of text that one range of the sort holds, about.
-RANGE_BYTES = 48 << 20
+#: Bytes of ids that one range of the sort holds, about.
+RANGE_BYTES = 16 << 20
+#: Files up to which the table of their places (some 40 bytes each) is broadcast; beyond, it is joined.
+PLACED_FILES = 500_000
+#: Ranges whose places are summed up in one task.
+TOGETHER = 1024
 
 
 def planes(ids: np.ndarray) -> bytes:
@@ -96,14 +103,35 @@ _FILE_SQL = "range int, file int, first long, n_ids long, raw binary"
 _FILE = [("range", pa.int32()), ("file", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("raw", pa.binary())]
 
 
+_IDS_SQL = "key long, tie long, wide boolean, ids binary"
+_IDS = [("key", pa.int64()), ("tie", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]
+
+
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Key, a hash of the text, and the ids of each row: four bytes each if ``wide``, else two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches):
+            ids = encoder(tokenizer).encode(texts)
+            wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
+            blobs = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
+            yield batch(_IDS, [part.column(0), part.column(1), wide, blobs])
+
+    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, _IDS_SQL)
+
+
 def save(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
     """Writes the ids of all documents to ``folder``, in ascending key order over the files.
 
     Null texts are empty and give the end id alone; null keys are refused by the index and stored as the smallest key;
-    equal keys are ordered by text. An empty table writes an empty dataset.
+    equal keys are ordered by a hash of their text, so one key's rows may lie in several ranges; repeated rows are written as
+    often as they come. An empty table writes an empty dataset. Extra columns do not matter.
     """
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text).alias("text"))
-    n = parts(docs.sparkSession, (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0), RANGE_BYTES)
+    spark, stored = docs.sparkSession, f"{folder}-ids"
+    encoded(docs, key, text, tokenizer).write.parquet(stored)
+    rows = spark.read.schema(_IDS_SQL).parquet(stored)
+    n = parts(spark, (rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0), RANGE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,8 +141,9 @@ def save(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         def flush() -> pa.RecordBatch:
             return batch(_FILE, [[at], [number], [keys[0]], [held], [write(keys, ids)]])
 
-        for part, texts in text_chunks(batches):
-            for k, own in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
+        for part in batches:
+            for k, wide, raw in zip(*(part.column(c).to_pylist() for c in ("key", "wide", "ids")), strict=True):
+                own = np.frombuffer(raw, "<u4" if wide else "<u2")
                 if held and held + len(own) > FILE_IDS:
                     yield flush()
                     number, keys, ids, held = number + 1, [], [], 0
@@ -124,16 +153,25 @@ def save(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         if keys:
             yield flush()
 
-    slim.repartitionByRange(n, "key", "text").sortWithinPartitions("key", "text").mapInArrow(run, _FILE_SQL).write.option("compression", "none").parquet(folder)
+    # the stored rows come in the same order on every try, so their places may split equal rows
+    order = ("key", "tie", "place")
+    ranged = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged.mapInArrow(run, _FILE_SQL).write.option("compression", "none").parquet(folder)
+    drop_dir(spark, stored)
 
 
 def load(spark, folder: str) -> DataFrame:
     """The documents of the files in ``folder``: doc_id, start (ids before it in the whole), n_tokens, ids (binary, 4 bytes each)."""
-    files = spark.read.parquet(folder)
-    order = Window.orderBy("first", "range", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one small row for each file of millions of ids
-    places = files.select("range", "file", "first", "n_ids").withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids"))
-    placed = files.select("range", "file", "raw").join(F.broadcast(places.select("range", "file", "before")), ["range", "file"])
+    files = spark.read.schema(_FILE_SQL).parquet(folder)
+    sizes = files.select("range", "file", "n_ids").withColumn("group", F.expr(f"range div {TOGETHER}"))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # ranges ascend with the keys: places inside a group of ranges, and one row for each group
+    inside = sizes.withColumn("inside", F.sum("n_ids").over(up_to(Window.partitionBy("group").orderBy("range", "file"))) - F.col("n_ids"))
+    groups = sizes.groupBy("group").agg(F.sum("n_ids").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(up_to(Window.orderBy("group"))) - F.col("all")).alias("ahead"))
+    places = inside.join(groups, "group").select("range", "file", (F.col("inside") + F.col("ahead")).alias("before"))
+    small = files.count() <= PLACED_FILES
+    placed = files.select("range", "file", "raw").join(F.broadcast(places) if small else places, ["range", "file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -169,4 +207,4 @@ def digest(loaded: DataFrame) -> DataFrame:
     return loaded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-__all__ = ["digest", "load", "planes", "read", "round_trip", "save", "unplanes", "write"]
+__all__ = ["digest", "encoded", "load", "planes", "read", "round_trip", "save", "unplanes", "write"]
