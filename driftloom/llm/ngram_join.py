@@ -49,8 +49,8 @@ HOT = 64
 PER_BLOCK = 4_000_000
 #: A class belongs to its centre's star from this share of common shingles (of the union, in percent) up.
 CLOSE = 50
-#: Classes that one block of a star's product has as columns, about.
-BLOCK_COLUMNS = 4096
+#: Classes that one block of a star's product has as rows, and as columns, about.
+STAR_BLOCK = 512
 _MOST = np.uint32(0xFFFFFFFF)
 _ODD = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -349,7 +349,7 @@ def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> D
     """Links inside stars whose members are not yet in one component.
 
     A star is a centre and the classes near it. Members in the centre's component need no product with each other; every
-    other member meets all members, block by block. Only links leave a block, never the pairs that were compared.
+    other member meets all members, cell by cell of a grid. Only links leave a cell, never the pairs that were compared.
     """
     members = stars.select(F.col("a").alias("star"), F.col("b").alias("rep"))
     members = members.unionByName(members.select("star", F.col("star").alias("rep")).distinct())
@@ -362,21 +362,31 @@ def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> D
         F.max(F.when(F.col("rep") == F.col("star"), F.col("label"))).alias("centre"),
     ).where("low <> high")
     mixed_stars = named.join(facts.select("star", "size", "centre"), "star").withColumn(
-        "blocks", F.ceil(F.col("size") / F.lit(BLOCK_COLUMNS)).cast("int")
-    )
-    columns = mixed_stars.select("star", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "n", "label", "ordered")
-    rows = mixed_stars.where("label <> centre").select(
-        "star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "label", "ordered"
+        "blocks", F.ceil(F.col("size") / F.lit(STAR_BLOCK)).cast("int")
     )
+    # a grid of row blocks and column blocks, so no task holds a whole star
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = lambda df, down, across: df.select("star", down.alias("down"), across.alias("across"), "rep", "n", "label", "ordered")
+    columns, rows = cells(mixed_stars, every, own), cells(mixed_stars.where("label <> centre"), own, every)
+    cell = ("star", "down", "across")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides have one origin
-    return fresh(rows).groupBy("star", "block").cogroup(fresh(columns).groupBy("star", "block")).applyInArrow(_multiply, "a long, b long")
+    return fresh(rows).groupBy(*cell).cogroup(fresh(columns).groupBy(*cell)).applyInArrow(_multiply, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) edges by alternating large and small stars: node, label (the smallest node)."""
+    """Connected components of (a, b) edges by alternating large and small stars: node, label (the smallest node).
+
+    It ends when every node points at one node that itself points nowhere, which is exactly when a round changes nothing.
+    """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
     while True:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if not open_.take(1):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -386,10 +396,6 @@ def components(edges: DataFrame) -> DataFrame:
             lower.select("u", F.col("m").alias("v"))
         )
         now = checkpointed(small.where("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = state
 
 
 def _identity(docs: DataFrame, key: str) -> Column:
@@ -459,10 +465,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", units: int |
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the first of their component, with their own columns; repeated rows of those once."""
+    """The documents that are the first of their component, with their own columns; of rows with one key the one with the least text."""
     found = checkpointed(_joined(docs, key, text, None))
-    firsts = found.where("id = component_id").select(F.col("id").alias("_first"))
-    own = free_name(docs, "_own")
-    kept = docs.withColumn(own, _identity(docs, key)).join(firsts.distinct(), F.col(own) == F.col("_first"), "left_semi")
-    repeated = firsts.groupBy("_first").count().where("count > 1").take(1)
-    return (kept.dropDuplicates([own]) if repeated else kept).drop(own)
+    own, first = free_name(docs, "_own"), free_name(docs, "_first")
+    firsts = found.where("id = component_id").select(F.col("id").alias(first))
+    kept = docs.withColumn(own, _identity(docs, key)).join(firsts.distinct(), F.col(own) == F.col(first), "left_semi")
+    if not firsts.groupBy(first).count().where("count > 1").take(1):
+        return kept.drop(own)
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return kept.groupBy(own).agg(F.min_by(row, F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
