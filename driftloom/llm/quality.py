@@ -5,7 +5,7 @@ a bounded sample, measures its cost and the share that it rejects, and orders th
 ``judge`` folds the ordered rules into one CASE, whose later branches are not evaluated once an earlier one rejects.
 The verdict is the conjunction of all rules, so it does not depend on the order; only the work does.
 
-Defined cases: null, empty and blank texts have zero words and fail the base; a text with fewer than three words has no
+Defined cases: rows with null keys are rows like others; null, empty and blank texts have zero words and fail the base; a text with fewer than three words has no
 window; equal rows get equal verdicts; an empty table gives an empty result and the rules' given order; extra columns,
 whatever their names, do not matter, as only the key and text columns are read.
 """
@@ -23,6 +23,8 @@ from .common import let, words
 
 #: Rows that the cost and selectivity estimates read at most, about.
 SAMPLE_ROWS = 4000
+#: Evaluations of each sampled row, so that a rule's own time outweighs that of starting a job.
+REPEATS = 8
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -152,28 +154,38 @@ def plan_cascade(
 ) -> list[tuple[Rule, float, float]]:
     """The rules with their measured cost (seconds a row) and rejected share, best rejection per cost first.
 
-    The sample is taken by a hash of the key, about ``sample_rows`` rows of any input; one aggregate per rule is timed
-    against an empty aggregate. Ties keep the given order.
+    The sample is taken by a hash of the row's key and text, about ``sample_rows`` rows of any input. A rule is evaluated
+    ``REPEATS`` times for each of its rows inside one aggregate, the faster of two runs counts, and an empty aggregate's time goes
+    off. What is left below that one's own spread cannot be told from nothing and costs as much as the spread, so
+    such rules go by what they reject. Ties keep the given order.
     """
     total = docs.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
     keep = max(1, total // sample_rows)
-    sample = profile(docs.where(F.pmod(F.xxhash64(key), F.lit(keep)) == 0), key, text).persist()
+    sample = profile(docs.where(F.pmod(F.xxhash64(key, text), F.lit(keep)) == 0), key, text).persist()
+    again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
     def timed(condition: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
-        row = sample.agg(F.count("*").alias("n"), F.count_if(condition).alias("hits")).first()
+        row = again.agg(F.count("*").alias("n"), F.count_if(condition).alias("hits")).first()
         return time.perf_counter() - began, row.n, row.hits
 
     timed(F.lit(True))
-    floor, n, _ = min(timed(F.lit(False)) for _ in range(2))
+    empty = [timed(F.col("n_words") < 0) for _ in range(3)]
+    floor, n = min(t for t, _, _ in empty), max(empty[0][1], 1)
+    spread = max(max(t for t, _, _ in empty) - floor, 0.01)
     found = []
     for rule in rules:
-        took, _, hits = timed(F.expr(rule.rejects))
-        found.append((rule, max(took - floor, 1e-4) / max(n, 1), hits / max(n, 1)))
+        took, _, hits = min(timed(F.expr(rule.rejects)) for _ in range(2))
+        found.append((rule, max(took - floor, spread) / n, hits / n))
     sample.unpersist()
-    return sorted(found, key=lambda x: -x[2] / x[1])
+    return by_worth(found)
+
+
+def by_worth(measured: list[tuple[Rule, float, float]]) -> list[tuple[Rule, float, float]]:
+    """Rules with cost and rejected share, most rejection per cost first; ties keep their order."""
+    return sorted(measured, key=lambda x: -x[2] / x[1] if x[1] else 0.0)
 
 
 def judge(profiled: DataFrame, ordered: Sequence[Rule]) -> DataFrame:
