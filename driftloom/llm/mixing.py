@@ -9,7 +9,7 @@ most one for each source, so each source gives its target to the word.
 Running sums never gather a source in one task: a document's hash also names one of ``SLOTS`` slots, sums run inside
 (source, slot), and the slots' totals are added up first. A source with any share of the rows is thus spread evenly.
 
-Defined cases: null texts and empty texts have size 0 and take 0; the null source is a source of its own, last in order;
+Defined cases: null texts and empty texts have size 0 and take 0; null keys are rows of their own, hashed by their text; the null source is a source of its own, last in order;
 documents with equal hashes (repeated rows) are ordered by size and otherwise interchangeable; an empty table gives an
 empty result; a table without any word gives targets of 0. Extra columns do not matter.
 """
@@ -73,13 +73,15 @@ def schedule(
     """One row per document: doc_id, source, size, source_size, target, ``served`` (words taken of each copy),
     ``finish`` (virtual finish time of each copy) and taken. ``row`` names a struct column to carry along.
     """
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    # rows without a key are spread by their text
+    name = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    digest = F.md5(F.concat(name, F.lit(f":{seed}")))
     carried = [F.col(row).alias("row")] if row else []
     sized = docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
-        F.coalesce(digest, F.lit("000")).alias("hash"),
+        digest.alias("hash"),
         *carried,
     ).withColumn("slot", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
     slots = sized.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
