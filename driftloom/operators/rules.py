@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.columns import cosine
+from .vectors import group_counts
 
 
 def normalized_messages(rows: DataFrame, message: str) -> DataFrame:
@@ -61,9 +61,7 @@ def significance(pairs: DataFrame) -> DataFrame:
 
 def cross_group_pairs(rows: DataFrame, key: str, vector: str, group: str, least: float) -> DataFrame:
     """Similar pairs between different groups: low, high, pairs, severity by the number of pairs."""
-    a, b = (rows.select(F.col(group).alias(f"g{p}"), F.col(key).alias(p), F.col(vector).alias(f"v{p}")) for p in "ab")
-    found = a.join(b, F.col("ga") < F.col("gb")).where(F.round(cosine("va", "vb"), 6) > least)
-    counted = found.groupBy(F.col("ga").alias("low"), F.col("gb").alias("high")).agg(F.count("*").alias("pairs"))
+    counted = group_counts(rows, key, vector, group, least)
     severity = F.when(F.col("pairs") > 10, 4).when(F.col("pairs") > 5, 3).when(F.col("pairs") > 2, 2).otherwise(1)
     return counted.withColumn("severity", severity)
 

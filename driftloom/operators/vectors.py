@@ -1,63 +1,238 @@
-"""Vector similarity: search, pairs, medians and background statistics."""
+"""Vector similarity: search, pairs, medians and background statistics.
+
+Pairs come from products of blocks: rows are dealt into blocks of about ``BLOCK`` by a hash, every two blocks that must meet are one
+cell of a grid, and a cell multiplies two matrices. No key, label or query set thus gathers in a task, and only results leave a cell.
+What needs no pair (means, deviations, medians) comes from sums by place and from Gram matrices, linear in the rows. Vectors have one
+length, keys are unique numbers, null vectors and labels drop out; empty tables give empty results (``background``: nulls, 0 pairs).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.columns import cosine, hamming, sign_bits
+from driftloom.functions.columns import sign_bits
+
+#: Rows of one side of a cell, about.
+BLOCK = 4096
+#: Partial Gram matrices that one task adds up, about.
+TOGETHER = 256
+
+
+def _matrix(table: pa.Table, dtype=np.float64) -> np.ndarray:
+    n, chunks = table.num_rows, [c.flatten().to_numpy(zero_copy_only=False) for c in table["v"].chunks]
+    return np.concatenate(chunks).astype(dtype).reshape(n, -1) if n else np.zeros((0, 0), dtype)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without length stay zero, so their cosine is 0."""
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
 
+def _blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK))
 
-def _sides(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        rows.select(F.col(key).alias("a"), F.col(vector).alias("va")),
-        rows.select(F.col(key).alias("b"), F.col(vector).alias("vb")),
-    )
+
+def _cells(left: DataFrame, right: DataFrame, groups: list[str], lb: int, rb: int, step: Callable, schema: str, half: bool = False) -> DataFrame:
+    """Runs ``step(left table, right table)`` for all cells of the grid of left (k, v, groups) and right; ``half``: those on and over the diagonal."""
+    own = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    l = left.withColumn("i", own(lb))  # noqa: E741
+    l = l.withColumn("j", every(F.col("i") if half else F.lit(0), F.lit(rb - 1)))  # noqa: E741
+    r = right.withColumn("j", own(rb))
+    r = r.withColumn("i", every(F.lit(0), F.col("j") if half else F.lit(lb - 1)))
+    cell = [*groups, "i", "j"]
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in (*cell, "k", "v")])  # noqa: E731  both sides may have one origin
+    return fresh(l).groupBy(*cell).cogroup(fresh(r).groupBy(*cell)).applyInArrow(step, schema)
+
+
+def _keyed(rows: DataFrame, key: str, vector, *groups) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias("k"), vector.alias("v"), *groups).where("v is not null")
+
+
+def _table(schema: str, columns: list) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    named = [c.strip().split(" ") for c in schema.split(",")]
+    return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(named, columns, strict=True)})
 
 
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The ``k`` most similar rows of each query, itself apart: a, b, similarity, nth. Every query meets every row.
+    """The ``k`` most similar rows of each query, itself apart: a, b, similarity, nth. Every query meets every row, in blocks.
 
-    The query set is stated by the caller and is the broadcast side only if Spark finds it small; ties go to the smaller key.
+    The query set is stated by the caller; each cell gives out the best ``k`` for each query only. Ties go to the smaller key.
     """
-    a, _ = _sides(queries, key, vector)
-    _, b = _sides(rows, key, vector)
-    scored = a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(cosine("va", "vb"), 6).alias("similarity"))
+    schema = "a long, b long, similarity double"
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(schema, [[], [], []])
+        a, b = left["k"].to_numpy(), right["k"].to_numpy()
+        near = np.round(_unit(_matrix(left)) @ _unit(_matrix(right)).T, 6)
+        out = [[], [], []]
+        for at, row in zip(a, near, strict=True):
+            some = np.flatnonzero(b != at)
+            best = some[np.lexsort((b[some], -row[some]))[:k]]
+            for column, value in zip(out, (np.full(len(best), at), b[best], row[best]), strict=True):
+                column.append(value)
+        return _table(schema, [np.concatenate(c) for c in out])
+
+    asked, all_ = _keyed(queries, key, F.col(vector)), _keyed(rows, key, F.col(vector))
+    scored = _cells(asked, all_, [], _blocks(asked), _blocks(all_), step, schema)
     order = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
 def label_pairs(rows: DataFrame, key: str, vector: str, label: str, least: float) -> DataFrame:
-    """Pairs of one label with at least that cosine."""
-    a, b = (rows.select(F.col(label).alias("label"), F.col(key).alias(p), F.col(vector).alias(f"v{p}")) for p in "ab")
-    scored = a.join(b, "label").where("a < b").select("label", "a", "b", F.round(cosine("va", "vb"), 6).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    """Pairs of one label with at least that cosine: label, a, b, similarity."""
+    schema = "label int, a long, b long, similarity double"
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(schema, [[]] * 4)
+        a, b = left["k"].to_numpy(), right["k"].to_numpy()
+        near = np.round(_unit(_matrix(left)) @ _unit(_matrix(right)).T, 6)
+        keep = near >= least
+        if left["i"][0].as_py() == left["j"][0].as_py():
+            keep &= a[:, None] < b[None, :]
+        x, y = np.nonzero(keep)
+        return _table(schema, [np.full(len(x), left["label"][0].as_py()), np.minimum(a[x], b[y]), np.maximum(a[x], b[y]), near[x, y]])
 
+    own = _keyed(rows, key, F.col(vector), F.col(label).cast("int").alias("label")).where("label is not null")
+    n = _blocks(own)
+    return _cells(own, own, ["label"], n, n, step, schema, half=True)
 
-def distances(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Hamming distances of the sign vectors of all pairs with one label."""
-    signed = rows.select(F.col(label).alias("label"), F.col(key).alias("k"), sign_bits(vector).alias("s"))
-    a, b = (signed.select("label", F.col("k").alias(p), F.col("s").alias(f"s{p}")) for p in "ab")
-    return a.join(b, "label").where("a < b").select("label", "a", "b", hamming(F.col("sa"), F.col("sb")).alias("distance"))
 
+def _signed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    return _keyed(rows, key, sign_bits(vector), F.col(label).cast("int").alias("label")).where("label is not null")
 
-def background(pairs: DataFrame) -> DataFrame:
-    """Pairs, mean and population deviation of the distances."""
-    return pairs.agg(
-        F.count("*").alias("pairs"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.stddev_pop("distance"), 6).alias("std")
-    )
 
+def distances(rows: DataFrame, key: str, vector: str, label: str, most: float | None = None) -> DataFrame:
+    """Hamming distances of the sign vectors of pairs with one label: label, a, b, distance; with ``most``, of pairs no further apart.
 
-def outliers(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose distance lies ``least`` deviations or more below the mean: a, b, z."""
-    stats = pairs.agg(F.avg("distance").alias("m"), F.sqrt(F.var_pop("distance") + 1e-12).alias("s"))
-    scored = pairs.join(F.broadcast(stats)).select("a", "b", F.round((F.col("m") - F.col("distance")) / F.col("s"), 4).alias("z"))
+    Without ``most`` the result itself has all pairs; statistics and medians need none of them (``background``, ``medians``).
+    """
+    schema = "label int, a long, b long, distance double"
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(schema, [[]] * 4)
+        a, b = left["k"].to_numpy(), right["k"].to_numpy()
+        s, t = 2 * _matrix(left) - 1, 2 * _matrix(right) - 1
+        size = s.shape[1]
+        apart = np.rint((size - s @ t.T) / 2) / size
+        keep = np.ones_like(apart, bool) if most is None else apart <= most
+        if left["i"][0].as_py() == left["j"][0].as_py():
+            keep &= a[:, None] < b[None, :]
+        x, y = np.nonzero(keep)
+        return _table(schema, [np.full(len(x), left["label"][0].as_py()), np.minimum(a[x], b[y]), np.maximum(a[x], b[y]), apart[x, y]])
+
+    own = _signed(rows, key, vector, label)
+    n = _blocks(own)
+    return _cells(own, own, ["label"], n, n, step, schema, half=True)
+
+
+def _moments(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Pairs, sum and sum of squares of the distances of all pairs with one label, from Gram matrices: label, pairs, one, two."""
+    schema = "label int, part int, n long, gram binary"
+    kinds = [("label", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("gram", pa.binary())]
+
+    def row(label, part, n, gram) -> pa.Table:
+        return pa.table({c: pa.array([v], t) for (c, t), v in zip(kinds, (label, part, n, gram.astype("<i8").tobytes()), strict=True)})
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            labels, signs = table["label"].to_numpy(), 2 * _matrix(table, np.int64) - 1
+            for label in np.unique(labels):
+                # the first place is 1 in each row, so the first line of the Gram matrix has the sums
+                own = np.c_[np.ones(int((labels == label).sum()), np.int64), signs[labels == label]].astype(np.float64)
+                gram = np.rint(own.T @ own).astype(np.int64)
+                n, sofar = held.get(int(label), (0, 0))
+                held[int(label)] = (n + len(own), sofar + gram)
+        for label, (n, gram) in held.items():
+            yield from row(label, TaskContext.get().partitionId() % TOGETHER, n, gram).to_batches()
+
+    def added(table: pa.Table) -> pa.Table:
+        gram = sum(np.frombuffer(g, "<i8") for g in table["gram"].to_pylist())
+        return row(table["label"][0].as_py(), 0, sum(table["n"].to_pylist()), gram)
+
+    def moments(table: pa.Table) -> pa.Table:
+        total = added(table)
+        n, gram = total["n"][0].as_py(), np.frombuffer(total["gram"][0].as_py(), "<i8")
+        size = int(round(len(gram) ** 0.5))
+        gram = gram.reshape(size, size).astype(object)
+        width, sums, inner = size - 1, gram[0, 1:], gram[1:, 1:]
+        squares = int((sums * sums).sum())
+        one = (n * n * width - squares) / 4 / width
+        two = (n * n * width * width - 2 * width * squares + int((inner * inner).sum())) / 8 / width**2
+        return pa.table({"label": pa.array([total["label"][0].as_py()], pa.int32()), "pairs": pa.array([n * (n - 1) // 2], pa.int64()), "one": pa.array([float(one)]), "two": pa.array([float(two)])})
+
+    parts = _signed(rows, key, vector, label).mapInArrow(partial, schema)
+    near = parts.groupBy("label", "part").applyInArrow(added, schema)
+    return near.groupBy("label").applyInArrow(moments, "label int, pairs long, one double, two double")
+
+
+def background(rows: DataFrame, key: str, vector: str, label: str, places: int | None = 6) -> DataFrame:
+    """Pairs with one label, mean and population deviation of their distances, without any pair."""
+    n = F.sum("pairs")
+    mean = F.sum("one") / F.nullif(n, F.lit(0))
+    spread = F.sqrt(F.greatest(F.sum("two") / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0)))
+    cut = (lambda c: F.round(c, places)) if places is not None else (lambda c: c)
+    return _moments(rows, key, vector, label).agg(F.coalesce(n, F.lit(0)).alias("pairs"), cut(mean).alias("mean"), cut(spread).alias("std"))
+
+
+def outliers(rows: DataFrame, key: str, vector: str, label: str, least: float) -> DataFrame:
+    """Pairs with one label whose distance lies ``least`` deviations or more below the mean: a, b, z. Only those leave a cell."""
+    stats = background(rows, key, vector, label, None).first()
+    if not stats.pairs:
+        return rows.sparkSession.createDataFrame([], "a long, b long, z double")
+    deviation = (stats.std**2 + 1e-12) ** 0.5
+    # a cell's bound is a little loose: the exact test follows
+    close = distances(rows, key, vector, label, stats.mean - least * deviation + 1e-6)
+    scored = close.select("a", "b", F.round((F.lit(stats.mean) - F.col("distance")) / F.lit(deviation), 4).alias("z"))
     return scored.where(F.col("z") >= least)
 
 
-def medians(pairs: DataFrame) -> DataFrame:
-    """The member of each label with the least summed distance to the others: label, median, total."""
-    ends = pairs.select("label", F.col("a").alias("node"), "distance").unionByName(pairs.select("label", F.col("b").alias("node"), "distance"))
-    total = ends.groupBy("label", "node").agg(F.round(F.sum("distance"), 6).alias("total"))
-    order = Window.partitionBy("label").orderBy("total", "node")
-    return total.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("label", F.col("node").alias("median"), "total")
+def medians(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """The member of each label with the least summed distance to the others: label, median, total. Linear: sums by place decide."""
+    own = _signed(rows, key, vector, label)
+    counts = own.select("label", F.posexplode("v").alias("at", "bit")).groupBy("label", "at").agg(F.sum("bit").alias("ones"), F.count("*").alias("n"))
+    listed = counts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "ones"))).alias("all"), F.first("n").alias("n"))
+    named = own.join(listed.where("n > 1"), "label")
+    other = F.zip_with("v", "all", lambda bit, x: F.when(bit == 1, F.col("n") - x["ones"]).otherwise(x["ones"]))
+    total = F.round(F.aggregate(other, F.lit(0).cast("long"), lambda s, v: s + v) / F.size("v"), 6)
+    summed = named.select("label", F.col("k").alias("median"), total.alias("total"))
+    best = F.min(F.struct("total", "median")).alias("b")
+    return summed.groupBy("label").agg(best).select("label", "b.median", "b.total")
+
+
+def group_counts(rows: DataFrame, key: str, vector: str, group: str, least: float) -> DataFrame:
+    """Number of pairs between different groups with a cosine above ``least``: low, high, pairs. Cells give out counts only."""
+    schema = "low int, high int, pairs long"
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(schema, [[]] * 3)
+        a, b = (t["v"].combine_chunks() for t in (left, right))
+        g, h = (np.array([x[0] for x in v.to_pylist()], np.int64) for v in (a, b))
+        m, o = (np.array([x[1:] for x in v.to_pylist()], np.float64) for v in (a, b))
+        near = (np.round(_unit(m) @ _unit(o).T, 6) > least) & (g[:, None] != h[None, :])
+        same = left["i"][0].as_py() == left["j"][0].as_py()
+        if same:
+            near &= g[:, None] < h[None, :]
+        x, y = np.nonzero(near)
+        pairs, n = np.unique(np.stack([np.minimum(g[x], h[y]), np.maximum(g[x], h[y])]), axis=1, return_counts=True)
+        return _table(schema, [pairs[0], pairs[1], n])
+
+    # the group travels as the vector's first place
+    named = _keyed(rows.where(F.col(group).isNotNull()), key, F.concat(F.array(F.col(group).cast("double")), F.col(vector).cast("array<double>")))
+    n = _blocks(named)
+    return _cells(named, named, [], n, n, step, schema, half=True).groupBy("low", "high").agg(F.sum("pairs").alias("pairs"))

@@ -11,6 +11,7 @@ from driftloom.functions.columns import words
 from driftloom.operators import cooccur, dedup, domains, graph, rules, scoring, text, timeseries, vectors
 from driftloom.sources.tables import table
 
+from . import code_plans, function_plans, graph_plans, history_plans, issue_plans
 from .adapters import BASKETS, EDGES, ISSUES, WEIGHT, WEIGHTS, baskets, edges, events, issues, nodes, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,8 +83,12 @@ def _ranges(s: SparkSession, d: str) -> DataFrame:
     return timeseries.overlaps(seen, "user_id", "low", "high", 0.99)
 
 
+#: Families of queries in modules of their own.
+FAMILIES = [*issue_plans.PLANS, *graph_plans.PLANS, *function_plans.PLANS, *code_plans.PLANS, *history_plans.PLANS]
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return {name: query for name, query, _ in FAMILIES} | {
         "risk_module_scores": _scores,
         "risk_level": _leveled,
         "risk_global_score": lambda s, d: scoring.global_score(_scores(s, d)),
@@ -116,9 +121,9 @@ def queries() -> dict[str, Query]:
         "cosine_topk": _near_vectors,
         "cosine_label_pairs": lambda s, d: vectors.label_pairs(table(s, d, "embeddings"), "vec_id", "embedding", "label", 0.3),
         "hamming_sign_pairs": _distances,
-        "background_stats": lambda s, d: vectors.background(_distances(s, d)),
-        "zscore_pairs": lambda s, d: vectors.outliers(_distances(s, d), 1.0),
-        "one_median_per_label": lambda s, d: vectors.medians(_distances(s, d)),
+        "background_stats": lambda s, d: vectors.background(table(s, d, "embeddings"), "vec_id", "embedding", "label"),
+        "zscore_pairs": lambda s, d: vectors.outliers(table(s, d, "embeddings"), "vec_id", "embedding", "label", 1.0),
+        "one_median_per_label": lambda s, d: vectors.medians(table(s, d, "embeddings"), "vec_id", "embedding", "label"),
         "fix_chains": lambda s, d: timeseries.sessions(events(s, d), "user_id", "ts", 6 * 3600, 3),
         "ping_pong": lambda s, d: timeseries.alternations(events(s, d), "user_id", "ts", "event_type", "event_id"),
         "markov_transitions": lambda s, d: timeseries.transitions(events(s, d), "user_id", "ts", "event_type", "event_id"),
@@ -200,7 +205,7 @@ select u as node, least(min(v), u) as component from reach group by u"""
 
 def oracle_sql() -> dict[str, str]:
     runs_sql = f"with {ISSUES}, b as (select * from issues where ts < '2024-01-16'), c as (select * from issues where ts >= '2024-01-16')"
-    return {
+    return {name: sql for name, _, sql in FAMILIES if sql} | {
         "risk_module_scores": f"with {ISSUES}, {_SCORES} select * from scores",
         "risk_level": f"with {ISSUES}, {_SCORES} select module, case when score >= 450 then 'CRITICAL' when score >= 300 then 'WARNING' else 'OK' end as level from scores",
         "risk_global_score": f"with {ISSUES}, {_SCORES} select round(coalesce(avg(score) * least(count(*) / 10.0, 2.0), 0), 2)::double as global_score from scores",

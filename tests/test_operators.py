@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from driftloom.operators import graph
@@ -24,7 +25,7 @@ def duck():
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return sorted((tuple(map(clean, r)) for r in frame.itertuples(index=False)), key=str)
 
 
