@@ -6,7 +6,7 @@ import xml.dom.minidom
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import detectors, signatures, vectors
+from driftloom.operators import detectors, models, signatures, vectors
 from driftloom.sources import code, gitlog, reports
 from driftloom.streaming import stateful
 
@@ -159,3 +159,12 @@ def test_upserts(spark, tmp_path):
         spark.createDataFrame(part, rows).coalesce(1).write.mode("append").parquet(inbox)
         stateful.run_once(spark.readStream.schema(rows).parquet(inbox), write, str(tmp_path / "check"))
     assert sorted(tuple(r) for r in spark.read.parquet(folder).collect()) == [(1, 2, False), (3, 1, False)]
+
+
+def test_forest_tells_risk(spark):
+    rows = spark.range(400).select(((F.col("id") * 37) % 100).cast("double").alias("x"), ((F.col("id") * 11) % 7).cast("double").alias("z"))
+    rows = rows.withColumn("y", (F.col("x") > 60).cast("int"))
+    model = models.train_forest(rows, ["x", "z"], "y", 10)
+    asked = spark.createDataFrame([(95.0, 1.0), (5.0, 1.0), (None, 1.0)], "x double, z double")
+    risk = {r.x: r.risk for r in models.predict_risk(model, asked, ["x", "z"]).collect()}
+    assert risk[95.0] > 0.9 and risk[5.0] < 0.1 and risk[None] is None
