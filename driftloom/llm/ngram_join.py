@@ -474,3 +474,25 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         return kept.drop(own)
     row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
     return kept.groupBy(own).agg(F.min_by(row, F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
+
+
+def _oracle(rounds: int = 12) -> str:
+    """The join as SQL over all pairs that share a shingle; labels go through ``rounds`` of least-label propagation."""
+    labels = "l0 as (select doc_id, doc_id as label from w)"
+    for k in range(rounds):
+        labels += f""", l{k + 1} as (select l.doc_id, least(l.label, coalesce(m.label, l.label)) as label from l{k} l left join
+  (select u as doc_id, min(label) as label from links join l{k} on doc_id = v group by 1) m on m.doc_id = l.doc_id)"""
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by 1),
+classes as (select doc_id, n, min(doc_id) over (partition by h) as class_id from n),
+pairs as (select x.doc_id as u, y.doc_id as v, count(*) as hits from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+links as (select u, v from pairs join n p on p.doc_id = u join n q on q.doc_id = v where 100 * hits >= 80 * (p.n + q.n - hits)),
+{labels}
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(class_id, w.doc_id) as class_id, label as component_id
+from w left join classes using (doc_id) join l{rounds} using (doc_id)
+"""
+
+
+ORACLE = _oracle()

@@ -90,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
+        "op2_suffix_dedup": suffix_dedup.ORACLE,
         "op3_source_mixing": mixing.ORACLE,
         "op9_chat_formatting": chat.ORACLE,
+        "op10_ngram_jaccard": ngram_join.ORACLE,
     }

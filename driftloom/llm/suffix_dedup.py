@@ -479,3 +479,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool
     masks = cut.repartition(columns, "bucket").groupBy("bucket").applyInArrow(interleave, _SQL["bits"])
     answers = replies.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1))).repartition(rows, "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, _SQL["digest" if digest else "kept"])
+
+
+#: Bytes are pairs of hexadecimal digits; windows of equal length make runs by their starts alone.
+ORACLE = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+o as (select doc_id, h, unnest(range(0, len(h) // 2, 512)) as o from b where len(h) >= 100),
+q as (select doc_id, o, substr(h, 2 * o + 1, 1122) as h from o),
+p as (select doc_id, o, h, unnest(range(0, least(512, len(h) // 2 - 49))) as j from q where len(h) >= 100),
+win as (select doc_id, o + j as i, substr(h, 2 * j + 1, 100) as s from p),
+early as (select s, min(doc_id) as f from win group by 1),
+lost as (select doc_id, i from win join early using (s) where f < doc_id),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from lost),
+numbered as (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from marked),
+runs as (select doc_id, k, min(i) as a, max(i) + 50 as z from numbered group by 1, 2),
+gaps as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as low from runs),
+cut as (select doc_id, count(*) as n_spans, sum(z - a)::bigint as n_removed, max(z) as last, string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' order by a) as kept
+        from gaps join b using (doc_id) group by 1)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(case when last is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256
+from b left join cut using (doc_id)
+"""
