@@ -6,8 +6,8 @@ puts pieces of that length into the open packs with the most room that fits (the
 it keeps counts of packing patterns, never packs. The patterns then say, for each length and rank, which sequence
 and offset a piece has, and pieces look that up by their rank among those of their length.
 
-Ranks never gather a length in one task: pieces are salted by a hash, ranks run inside (length, salt), and the salts'
-counts are added up first.
+Ranks never gather a length in one task: each length has as many salts as it needs, pieces get one by a hash, ranks run inside
+(length, salt), and the salts' counts are added up first.
 
 Defined cases: null and empty texts are the end id alone; equal pieces are interchangeable; repeated rows are packed as
 often as they come; an empty table gives an empty result. Extra columns do not matter.
@@ -28,8 +28,8 @@ from .common import checkpointed
 from .tokens import encoder
 
 LENGTH = 4096
-#: Pieces of one length that one ranking task sees, about.
-PER_SALT = 200_000
+#: Pieces of one length that are ranked together, about.
+PER_SALT = 1000
 
 _PIECE_SQL = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -95,8 +95,10 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = checkpointed(cut)
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = slots(plan(histogram, length))
-    salts = max(1, max(histogram.values(), default=0) // PER_SALT)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # one row for each bin of the histogram, at most ``length`` of them
+    salts = spark.createDataFrame([(size, max(1, n // PER_SALT)) for size, n in histogram.items()], "length int, salts long")
+    hashed = F.xxhash64("doc_id", "start", "ids_crc32")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(hashed, F.col("salts"))).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = counts.select("length", "salt", (F.sum("n").over(so_far) - F.col("n")).alias("base"))
