@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
-        self.spans: dict[bytes, np.ndarray] = {}
+        self.spans: dict[bytes, bytes] = {}
+        self.part_spans: dict[bytes, tuple[list[int], int]] = {}
 
     def _library(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids and code-point spans of words. They go to the library in long strings; offsets tell the words apart."""
@@ -135,17 +137,41 @@ class WordEncoder:
         space = (data == 32) | ((data >= 9) & (data <= 13))
         first = np.flatnonzero(~space & np.r_[True, space[:-1]])
         chars = np.cumsum((data & 0xC0) != 0x80) - 1
-        own = [self.spans[w] for w in words]
-        spans = np.concatenate(own) + np.repeat(chars[first], [len(x) for x in own])[:, None]
-        return spans[:, 0], spans[:, 1]
+        own = list(map(self.spans.__getitem__, words))
+        spans = np.frombuffer(b"".join(own), "<i4").reshape(-1, 2)
+        shift = np.repeat(chars[first], np.fromiter(map(len, own), np.int64, len(own)) >> 3)
+        return spans[:, 0] + shift, spans[:, 1] + shift
+
+    def _part_spans(self, parts: list[bytes]) -> Iterator[tuple[bytes, tuple[list[int], int]]]:
+        """Starts and ends of the tokens of cores and marks, in turn, and their length in code points; as ``_encode_parts`` goes about it."""
+        model, others = self.tokenizer.model, []
+        for part in parts:
+            letters = part.decode()
+            if part.isalpha() and part.islower():
+                yield part, ([x for t in model.tokenize(letters) for x in t.offsets], len(letters))
+            elif letters.isalpha() and letters.islower() and max(letters) < _PLAIN_END:
+                # offsets count bytes of the spelled word, whose letters stand for bytes of this one; a token takes each
+                # code point that it has a byte of
+                chars = [k for k, c in enumerate(letters) for b in c.encode() for _ in _BYTE_LETTERS[b].encode()]
+                tokens = model.tokenize("".join(map(_BYTE_LETTERS.__getitem__, part)))
+                yield part, ([x for t in tokens for x in (chars[t.offsets[0]], chars[t.offsets[1] - 1] + 1)], len(letters))
+            else:
+                others.append(part)
+        for part, (_, spans) in zip(others, self._library(others), strict=True):
+            yield part, (spans.ravel().tolist(), len(part.decode()))
 
     def learn_places(self, texts: list[bytes]) -> None:
         """Makes the spans of all words of some texts known, which ``places`` reads."""
         if len(self.spans) > CACHED_WORDS:
             self.spans.clear()
-        fresh = list(set().union(*(t.split() for t in texts)).difference(self.spans)) if texts else []
-        for word, (_, spans) in zip(fresh, self._library(fresh), strict=True):
-            self.spans[word] = spans
+            self.part_spans.clear()
+        fresh = set().union(*(t.split() for t in texts)).difference(self.spans) if texts else set()
+        cut, known = [(w, *self._core(w)) for w in fresh], self.part_spans
+        known.setdefault(b"", ([], 0))
+        known.update(self._part_spans(list({c for _, c, _ in cut}.union(m for _, _, m in cut).difference(known))))
+        for w, core, marks in cut:
+            (flat, size), (rest, _) = known[core], known[marks]
+            self.spans[w] = array("i", [*flat, *(x + size for x in rest)]).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
