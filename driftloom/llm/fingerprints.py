@@ -140,26 +140,43 @@ def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """64-bit hashes of each text's selected windows, in text order. Long texts go piece by piece."""
-    if any(len(t) > CHUNK_BYTES for t in texts):
-        return [np.concatenate(_features([t[a : a + CHUNK_BYTES + WINDOW - 1] for a in range(0, max(len(t), 1), CHUNK_BYTES)], rank)) for t in texts]
-    return _features(texts, rank)
+    """64-bit hashes of each text's selected windows, in text order.
+
+    Texts above ``CHUNK_BYTES`` go piece by piece; pieces overlap by what votes reach over, so cuts change no feature.
+    """
+    out, short = [np.zeros(0, np.uint64)] * len(texts), []
+    for k, t in enumerate(texts):
+        if len(t) <= CHUNK_BYTES:
+            short.append(k)
+            continue
+        n, found = len(t) - WINDOW + 1, []
+        for a in range(0, n, CHUNK_BYTES):
+            low, high = max(0, a - RUN + 1), min(n, a + CHUNK_BYTES + RUN - 1)
+            data, (chosen,) = _chosen([t[low : high + WINDOW - 1]], rank)
+            chosen = chosen[(chosen + low >= a) & (chosen + low < a + CHUNK_BYTES)]
+            found.append(_hashes(data, chosen))
+        whole = np.concatenate(found)
+        out[k] = whole if len(whole) else _whole(t)
+    data, places = _chosen([texts[k] for k in short], rank)
+    for k, at in zip(short, places, strict=True):
+        out[k] = _hashes(data, at) if len(at) else _whole(texts[k])
+    return out
 
 
-def _features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+def _chosen(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buffer of all texts, and the places in it of each text's windows with enough votes."""
     data, low, high = _windows(texts)
     keyed = rank[levels(data)].astype(np.int64)
     out = []
-    for t, a, b in zip(texts, low, high, strict=True):
-        if b - a < 1:
-            out.append(_whole(t))
-            continue
+    for a, b in zip(low, high, strict=True):
         own = keyed[a:b]
+        if not len(own):
+            out.append(np.zeros(0, np.int64))
+            continue
         least = _running_least((own << 32) | np.arange(b - a), min(RUN, b - a))
         votes = np.bincount(least & 0xFFFFFFFF, minlength=b - a)
-        chosen = np.flatnonzero((votes >= min(VOTES, len(least))) & (own <= LEVELS))
-        out.append(_hashes(data, a + chosen) if len(chosen) else _whole(t))
-    return out
+        out.append(a + np.flatnonzero((votes >= min(VOTES, len(least))) & (own <= LEVELS)))
+    return data, out
 
 
 def _whole(text: bytes) -> np.ndarray:
