@@ -137,7 +137,7 @@ def between_snapshots(rows: DataFrame, key: str, snapshot: str, value: str) -> D
     both = now.unionByName(last, allowMissingColumns=True).groupBy("k", "s").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("now").alias("now"), F.max("old").alias("old"))
     both = both.join(rows.agg(F.max(snapshot).alias("end")).withColumn("start", F.lit(0)), F.col("s") <= F.col("end"))
     return both.groupBy(F.col("s").alias("snapshot")).agg(
-        F.count_if("now = 1 and old = 1 and v = w").alias("kept"), F.count_if("now = 1 and old = 1 and v <> w").alias("changed"), F.count_if("old = 0").alias("added"), F.count_if("now = 0").alias("gone")
+        F.count_if(F.expr("now = 1 and old = 1 and v = w")).alias("kept"), F.count_if(F.expr("now = 1 and old = 1 and v <> w")).alias("changed"), F.count_if(F.expr("old = 0")).alias("added"), F.count_if(F.expr("now = 0")).alias("gone")
     )
 
 

@@ -61,7 +61,7 @@ PLANS = [
     ("cluster_absorption", lambda s, d: cl.absorbed(table(s, d, "part").where("p_size < 3").select(F.col("p_size").alias("cluster"), F.col("p_name").alias("member")), table(s, d, "part").select((F.col("p_partkey") % 400).cast("int").alias("cluster"), F.col("p_name").alias("member"))),
         "with f as (select p_size as cluster, p_name as member from part where p_size < 3), g as (select (p_partkey % 400)::int as cluster, p_name as member from part), t as (select distinct cluster from g where member in (select member from f)) select 'first' as kind, * from f union all select 'second', * from g where cluster not in (select cluster from t)"),
     ("grouping_keys", lambda s, d: cl.grouped_by_keys(table(s, d, "part"), "p_partkey", {"brand": F.col("p_brand"), "name": F.substring_index("p_name", " ", 1), "size": F.floor(F.col("p_size") / 10)}),
-        "with k as (select 'brand' as by, p_brand as key, p_partkey as m from part union all select 'name', string_split(p_name, ' ')[1], p_partkey from part union all select 'size', (p_size // 10)::varchar, p_partkey from part) select "by", key, count(*) as members, min(m) as first from k group by 1, 2 having count(*) >= 2"),
+        "with k as (select 'brand' as by, p_brand as key, p_partkey as m from part union all select 'name', string_split(p_name, ' ')[1], p_partkey from part union all select 'size', (p_size // 10)::varchar, p_partkey from part) select \"by\", key, count(*) as members, min(m) as first from k group by 1, 2 having count(*) >= 2"),
     ("inside_shares", lambda s, d: cl.inside_share(calls(s, d), table(s, d, "customer").select(F.floor(F.col("c_custkey") / 8).alias("cluster"), F.col("c_custkey").alias("member"))), f"with {CALLS} select src // 8 as cluster, count(*) as edges, round(avg(coalesce((src // 8 = dst // 8 and dst in (select c_custkey from customer))::int, 0)), 6) as inside from calls where src in (select c_custkey from customer) group by 1"),
     ("stability_index", lambda s, d: cl.stability_index(table(s, d, "lineitem"), "l_suppkey", "l_quantity"), "with g as (select avg(l_quantity) as m, stddev_pop(l_quantity) as s from lineitem group by l_suppkey) select round(1 / (1 + avg(s / m)), 6) as stability from g where m <> 0"),
     ("similarity_matrix", lambda s, d: cl.symmetric(_pairs(s, d)), "with p as (select l_suppkey as a, l_partkey as b, l_discount as value from lineitem where l_partkey <> l_suppkey), u as (select a as i, b as j, value from p union all select b, a, value from p union all select distinct a, a, 1.0::double from p union all select distinct b, b, 1.0::double from p) select i, j, max(value) as value from u group by 1, 2"),
@@ -88,5 +88,5 @@ PLANS = [
         u as (select c.site, round(sum(least(cost, best)), 6) as total from c join b using (client) group by 1), z as (select * from u order by total, site limit 1) select 1::int as nth, site, total from a union all select 2, site, total from z"""),
     ("density_clusters", _density, f"""with p as (select x.vec_id as u, y.vec_id as v from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where round(list_cosine_similarity([v::double for v in x.embedding], [v::double for v in y.embedding]), 6) >= 0.25),
         core as (select u as node from p group by 1 having count(*) + 1 >= 4), ways as (select u, v from p where u in (select node from core) and v in (select node from core)), {_labels(14, "ways", "core")},
-        near as (select u as node, min(label) as border from p join l14 on node = v group by 1) select vec_id as node, coalesce(label, border) as cluster from embeddings left join l14 on l14.node = vec_id left join near on near.node = vec_id"""),
+        near as (select u as node, min(l14.label) as border from p join l14 on node = v group by 1) select vec_id as node, coalesce(l14.label, border) as cluster from embeddings left join l14 on l14.node = vec_id left join near on near.node = vec_id"""),
 ]
