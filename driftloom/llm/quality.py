@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import let, words
 
 #: Rows that the cost and selectivity estimates read at most, about.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1000
 #: Evaluations of each sampled row, so that a rule's own time outweighs that of starting a job.
-REPEATS = 8
+REPEATS = 4
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
