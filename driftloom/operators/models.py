@@ -35,7 +35,7 @@ def predict_risk(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     safe = rows.select("*", known.alias("_known"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)])
     vectors = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(safe)
     scored = model.transform(vectors.withColumnRenamed("_x", model.getFeaturesCol()))
-    return scored.select(*rows.columns, F.when("_known", vector_to_array("probability")[1]).alias("risk"))
+    return scored.select(*rows.columns, F.when(F.col("_known"), vector_to_array("probability")[1]).alias("risk"))
 
 
 def density_clusters(nodes: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
