@@ -13,6 +13,8 @@ from .common import parts
 
 #: Bytes of text that one step of a map task holds; a longer single text is a step of its own.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose words are hashed together; some forty bytes are held for each.
+PIECE_BYTES = 1 << 20
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -111,10 +113,10 @@ def word_hashes(raw: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]
     """Starts and 64-bit hashes of the words of a buffer, worked off in pieces that end at white space."""
     data, starts, hashes, at = np.frombuffer(raw, np.uint8), [], [], 0
     while at < len(data):
-        end = min(len(data), at + CHUNK_BYTES)
+        end = min(len(data), at + PIECE_BYTES)
         while end < len(data) and not _SPACE[data[end]]:
-            more = np.flatnonzero(_SPACE[data[end : end + CHUNK_BYTES]])
-            end = end + int(more[0]) if len(more) else min(len(data), end + CHUNK_BYTES)
+            more = np.flatnonzero(_SPACE[data[end : end + PIECE_BYTES]])
+            end = end + int(more[0]) if len(more) else min(len(data), end + PIECE_BYTES)
         piece = data[at:end]
         word = ~_SPACE[piece]
         first = np.flatnonzero(word & ~np.r_[False, word[:-1]])

@@ -165,24 +165,27 @@ def _count(columns: int, rows: int):
             return
         hashes = np.concatenate([unpack(v) for v in counted["hashes"].to_pylist()])
         lens = np.concatenate(arrays(counted["lens"], "<u4"))
-        ids = np.repeat(np.concatenate(arrays(counted["ids"], "<i8")), lens)
-        uids = np.repeat(np.concatenate(arrays(counted["uids"], "<u8")), lens)
+        ids, uids = np.concatenate(arrays(counted["ids"], "<i8")), np.concatenate(arrays(counted["uids"], "<u8"))
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lens)  # places in ids and uids
         marked = [unpack(v) for v in table.filter(pa.array(kind == -2))["hashes"].to_pylist()]
         order = np.argsort(hashes, kind="stable")
-        starts, lengths = runs(hashes[order])
+        hashes, owner = hashes[order], owner[order]
+        del order
+        starts, lengths = runs(hashes)
         counts = lengths.astype(np.uint32)
         if marked:
-            counts[np.isin(hashes[order[starts]], np.concatenate(marked))] = _MOST
-        times = np.repeat(counts, lengths)
-        keep = np.flatnonzero(times >= 2)
-        at, times = order[keep], times[keep]
-        for block, some in _split((uids[at] % np.uint64(rows)).astype(np.int32), rows):
-            places = some[np.lexsort((ids[at[some]], uids[at[some]]))]
-            who = at[places]
+            counts[np.isin(hashes[starts], np.concatenate(marked))] = _MOST
+        shared = np.repeat(counts >= 2, lengths)
+        times = np.repeat(counts[counts >= 2], lengths[counts >= 2])
+        hashes, owner = hashes[shared], owner[shared]
+        for block, some in _split((uids[owner] % np.uint64(rows)).astype(np.int32), rows):
+            own = owner[some]
+            places = some[np.lexsort((ids[own], uids[own]))]
+            who = owner[places]
             s, m = runs(uids[who])
             yield batch(
                 _PACKET,
-                [[0], [block], [ids[who[s]].tobytes()], [uids[who[s]].tobytes()], [m.astype("<u4").tobytes()], [pack(hashes[who])], [times[places].astype("<u4").tobytes()], [b""]],
+                [[0], [block], [ids[who[s]].tobytes()], [uids[who[s]].tobytes()], [m.astype("<u4").tobytes()], [pack(hashes[places])], [times[places].astype("<u4").tobytes()], [b""]],
             )
 
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .blocks import batch, text_chunks
 from .common import checkpointed
-from .tokens import encoder
+from .tokens import task_encoder
 
 LENGTH = 4096
 #: Pieces of one length that are ranked together, about.
@@ -39,15 +39,16 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     """Cuts of every document: whole sequences, then what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
-            out = [[] for _ in _PIECE]
-            for k, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
-                raw = memoryview(ids.astype("<u4").tobytes())
-                for a in range(0, len(ids), length):
-                    own = raw[4 * a : 4 * (a + length)]
-                    for column, value in zip(out, (k, a, len(own) // 4, zlib.crc32(own), len(ids)), strict=True):
-                        column.append(value)
-            yield batch(_PIECE, out)
+        with task_encoder(tokenizer) as words:
+            for part, texts in text_chunks(batches):
+                out = [[] for _ in _PIECE]
+                for k, ids in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    for a in range(0, len(ids), length):
+                        own = raw[4 * a : 4 * (a + length)]
+                        for column, value in zip(out, (k, a, len(own) // 4, zlib.crc32(own), len(ids)), strict=True):
+                            column.append(value)
+                yield batch(_PIECE, out)
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _PIECE_SQL)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import batch, text_chunks
 from .common import drop_dir, parts, shared_dir
-from .tokens import encoder
+from .tokens import task_encoder
 
 MAGIC = b"TOKPLANE"
 CHUNK_IDS = 65_536
@@ -111,11 +111,12 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     """Key, a hash of the text, and the ids of each row: four bytes each if ``wide``, else two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
-            ids = encoder(tokenizer).encode(texts)
-            wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
-            blobs = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
-            yield batch(_IDS, [part.column(0), part.column(1), wide, blobs])
+        with task_encoder(tokenizer) as own:
+            for part, texts in text_chunks(batches):
+                ids = own.encode(texts)
+                wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
+                blobs = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
+                yield batch(_IDS, [part.column(0), part.column(1), wide, blobs])
 
     slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     return slim.mapInArrow(run, _IDS_SQL)

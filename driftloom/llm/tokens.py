@@ -7,7 +7,9 @@ new ones to the library, in batches.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import itertools
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -18,6 +20,8 @@ import numpy as np
 END = 2
 #: Words that a worker's cache holds before it starts afresh.
 CACHED_WORDS = 700_000
+#: Words, of those met first, that it keeps then and from task to task; idle workers hold no more.
+KEPT_WORDS = 100_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -119,8 +123,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit integers, with ``END`` last."""
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.cores.clear()
+            self.trim()
         split = [t.split() for t in texts]
         fresh = set().union(*split).difference(self.known) if split else set()
         if fresh:
@@ -128,6 +131,15 @@ class WordEncoder:
         find, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
         return [np.frombuffer(b"".join([*map(find, words), end]), "<u4") for words in split]
 
+    def trim(self) -> None:
+        """Gives up most of the caches. Frequent words are met early, so the first ones are the ones worth keeping."""
+        kept = list(itertools.islice(self.known.items(), KEPT_WORDS))
+        self.known.clear()
+        self.known.update(kept)
+        self.cores.clear()
+        self.spans.clear()
+        self.part_spans.clear()
+
     def places(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token of a text, in code points of the text; the end id has none."""
         words = text.split()
@@ -178,3 +190,13 @@ class WordEncoder:
 def encoder(path: str | None = None) -> WordEncoder:
     """One encoder for each worker process."""
     return WordEncoder(path)
+
+
+@contextlib.contextmanager
+def task_encoder(path: str | None = None) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task. A worker outlives its tasks, idle beside those of other stages, so the caches are trimmed at the end."""
+    own = encoder(path)
+    try:
+        yield own
+    finally:
+        own.trim()
