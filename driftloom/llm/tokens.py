@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and splits at it before anything else, so a text's ids are the ids of its words in order
 (``tests/llm`` holds this against whole texts). Words repeat; each worker keeps the ids of those it met, and gives only
-new ones to the library, in batches.
+new ones to the library.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import contextlib
 import functools
 import itertools
 import os
+import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -49,6 +50,23 @@ _BYTE_LETTERS = _byte_letters()
 _TOGETHER = 32_768
 
 
+class _Known(dict):
+    """Ids of words. One that is looked up for the first time is learnt, and so are its core and its marks, which are words themselves."""
+
+    def __init__(self, cut: Callable[[bytes], tuple[bytes, bytes]], ids: Callable[[bytes], bytes]):
+        super().__init__()
+        self.cut, self.ids = cut, ids
+
+    def __missing__(self, w: bytes) -> bytes:
+        if w.isalpha():  # ASCII letters alone
+            found = self.ids(w) if w.islower() else self[w.lower()]
+        else:
+            core, marks = self.cut(w)
+            found = self.ids(w) if core == w else self[core] + self[marks] if marks else self[core]
+        self[w] = found
+        return found
+
+
 class WordEncoder:
     """Encodes texts given as UTF-8 bytes. ``path`` is the tokenizer's file; null looks it up on the worker."""
 
@@ -57,8 +75,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = _Known(self._core, self._ids)
         self.spans: dict[bytes, bytes] = {}
         self.part_spans: dict[bytes, tuple[list[int], int]] = {}
 
@@ -95,48 +113,31 @@ class WordEncoder:
             return letters.lower().encode(), w[len(core) :]
         return w, b""
 
-    def _encode_parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of cores and marks. Lower-case letters alone are one pre-token as they are, so the library's model takes
+    def _ids(self, part: bytes) -> bytes:
+        """Ids of a core or of marks. Lower-case letters alone are one pre-token as they are, so the library's model takes
         them at once; all else goes through the whole tokenizer."""
-        model, others = self.tokenizer.model, []
-        for part in parts:
-            if part.isalpha() and part.islower():
-                yield part, np.array([t.id for t in model.tokenize(part.decode())], "<u4").tobytes()
-                continue
-            letters = part.decode()
-            if letters.isalpha() and letters.islower() and max(letters) < _PLAIN_END:
-                spelled = "".join(map(_BYTE_LETTERS.__getitem__, part))
-                yield part, np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
-            else:
-                others.append(part)
-        for part, (ids, _) in zip(others, self._library(others), strict=True):
-            yield part, ids.tobytes()
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        cores, known = self.cores, self.known
-        cut = [(w, *self._core(w)) for w in words]
-        cores.setdefault(b"", b"")
-        cores.update(self._encode_parts(list({c for _, c, _ in cut}.union(m for _, _, m in cut).difference(cores))))
-        for w, core, marks in cut:
-            known[w] = cores[core] + cores[marks]
+        if part.isalpha() and part.islower():
+            ids = [t.id for t in self.tokenize(part.decode())]
+        elif (letters := part.decode()).isalpha() and letters.islower() and max(letters) < _PLAIN_END:
+            ids = [t.id for t in self.tokenize("".join(map(_BYTE_LETTERS.__getitem__, part)))]
+        else:
+            ids = self.tokenizer.encode(letters, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit integers, with ``END`` last."""
-        if len(self.known) > CACHED_WORDS:
-            self.trim()
-        split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.known) if split else set()
-        if fresh:
-            self._learn(fresh)
-        find, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(find, words), end]), "<u4") for words in split]
+        find, end, out = self.known.__getitem__, np.array([END], "<u4").tobytes(), []
+        for text in texts:
+            if len(self.known) > CACHED_WORDS:
+                self.trim()
+            out.append(np.frombuffer(b"".join([*map(find, text.split()), end]), "<u4"))
+        return out
 
     def trim(self) -> None:
         """Gives up most of the caches. Frequent words are met early, so the first ones are the ones worth keeping."""
         kept = list(itertools.islice(self.known.items(), KEPT_WORDS))
         self.known.clear()
         self.known.update(kept)
-        self.cores.clear()
         self.spans.clear()
         self.part_spans.clear()
 

@@ -51,3 +51,14 @@ def test_the_token_cache_after_a_task(monkeypatch):
     for got, again, text in zip(first, own.encode(texts), texts, strict=True):
         want = [*own.tokenizer.encode(text.decode(), add_special_tokens=False).ids, tokens.END]
         assert got.tolist() == want and again.tolist() == want
+
+
+def test_known_words_are_only_looked_up():
+    pytest.importorskip("public_tokenizers")
+    text = " ".join(f"Word{chr(97 + k % 26)}, the café" for k in range(600)).encode()
+    own = tokens.WordEncoder()
+    want = [*own.tokenizer.encode(text.decode(), add_special_tokens=False).ids, tokens.END]
+    own.encode([text])
+    out, peak = _peak(lambda: own.encode([text] * 200))
+    assert all(x.tolist() == want for x in out)
+    assert peak < 4 * len(want) * 200 + 2e6  # the ids and one text's words, not those of all texts, nor a set of them
