@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import parts
 #: Bytes of text that one step of a map task holds; a longer single text is a step of its own.
 CHUNK_BYTES = 4 << 20
 #: Bytes of text whose words are hashed together; some forty bytes are held for each.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -37,29 +38,44 @@ def _with_texts(batch: pa.RecordBatch, text: str) -> tuple[pa.RecordBatch, list[
     return batch, [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives what this process has freed back to the system. The C library keeps it otherwise (without glibc, nothing is done there)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over a task's batches with ``release`` behind it: a worker outlives its tasks, idle beside those of other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def grouped(df: DataFrame, key: str, n: int, step: Callable, schema: str) -> DataFrame:
-    """Runs ``step(key, table)``, a generator of record batches, for each value of ``key``, brought together in ``n`` partitions.
+    """Runs ``step(key, table)``, a generator of record batches, for each value of ``key``, which are 0 to n - 1.
 
-    Unlike a grouped map, results leave as they are made.
+    Each value has a partition of its own; dealt by a hash, a few would meet in one task and others stay idle. Unlike a grouped map,
+    results leave as they are made. Only ``step`` holds its table, so it may give it up on the way.
     """
 
+    def taken(held: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return table
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
-            edges = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b == a:
-                    continue
-                if held and keys[a] != at:
-                    yield from step(at, pa.Table.from_batches(held))
-                    held = []
-                at = keys[a]
-                held.append(batch.slice(a, b - a))
+        held = [b for b in batches if b.num_rows]
         if held:
-            yield from step(at, pa.Table.from_batches(held))
+            yield from step(held[0].column(held[0].schema.get_field_index(key))[0].as_py(), taken(held))
 
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartitionById(n, key).mapInArrow(released(run), schema)
 
 
 def sized(df: DataFrame, units: int, per_part: int) -> int:
@@ -71,6 +87,11 @@ def arrays(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
     return [np.frombuffer(v, dtype=dtype) for v in column.to_pylist()]
 
 
+def cells(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Binary cells as bytes, in place."""
+    return [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+
+
 def batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 

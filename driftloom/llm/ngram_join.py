@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import arrays, batch, grouped, mixed, runs, sized, text_chunks, word_hashes
+from .blocks import arrays, batch, cells, grouped, mixed, released, runs, sized, text_chunks, word_hashes
 from .common import checkpointed, free_name
 
 WORDS = 5
@@ -47,6 +47,8 @@ NEED, OF = 80, 100
 HOT = 64
 #: Shingles that one block holds, about.
 PER_BLOCK = 4_000_000
+#: Shingles of a column block that are counted together, at most about.
+PER_PASS = 500_000
 #: A class belongs to its centre's star from this share of common shingles (of the union, in percent) up.
 CLOSE = 50
 #: Classes that one block of a star's product has as rows, and as columns, about.
@@ -60,9 +62,10 @@ def pack(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def unpack(raw: bytes | pa.Buffer | np.ndarray) -> np.ndarray:
+    whole = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(whole), 8), np.uint8)
+    out[:, :6] = whole
     return out.view("<u8").ravel()
 
 
@@ -71,6 +74,7 @@ def shingles(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     starts, hashes = word_hashes(b"\n".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
     edges = np.r_[0, np.searchsorted(starts, ends)]
+    del starts
     n = len(hashes) - size + 1
     whole = np.zeros(max(n, 0), np.uint64)
     for k in range(size if n > 0 else 0):
@@ -114,17 +118,23 @@ def _packets(columns: int, rows: int):
         for part, texts in text_chunks(batches):
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = shingles(texts)
+            del texts
             n = np.array([len(s) for s in sets], np.int64)
             one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             two = np.array([mixed(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64) for s in sets], np.uint64)
             missing = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             uids = mixed(ids.view(np.uint64)) ^ one
-            low = np.concatenate(sets) & np.uint64(0xFFFFFFFFFFFF)
-            owner = np.repeat(np.arange(len(sets)), n)
+            size = len(sets)
+            low = np.concatenate(sets)
+            del sets
+            low &= np.uint64(0xFFFFFFFFFFFF)
+            owner = np.repeat(np.arange(size, dtype=np.int32), n)
             order = np.argsort(low, kind="stable")
             starts, lengths = runs(low[order])
             hot = np.zeros(len(low), bool)
             hot[order] = np.repeat(lengths >= HOT, lengths)
+            marked = low[order[starts[lengths >= HOT]]]
+            del order, starts, lengths
             out = [[] for _ in _PACKET]
 
             def put(bucket, block, who, counts, hashes, times, facts, out=out, ids=ids, uids=uids):
@@ -136,49 +146,59 @@ def _packets(columns: int, rows: int):
                 at = np.sort(cold[at])
                 s, m = runs(owner[at])
                 put(bucket, -1, owner[at[s]], m, low[at], b"", b"")
-            marked = low[order][starts[lengths >= HOT]]
+            del cold
             for bucket, at in _split(_bucket(marked, columns), columns):
                 put(bucket, -2, np.zeros(0, np.int64), np.zeros(0), marked[at], b"", b"")
             blocks = (uids % np.uint64(rows)).astype(np.int32)
             warm = np.flatnonzero(hot)
-            edges = np.searchsorted(owner[warm], np.arange(len(sets) + 1))
+            edges = np.searchsorted(owner[warm], np.arange(size + 1))
             for block, who in _split(blocks, rows):
                 m = edges[who + 1] - edges[who]
                 own = np.concatenate([warm[edges[w] : edges[w + 1]] for w in who])
                 facts = np.stack([n[who].view(np.uint64), one[who], two[who], missing[who]]).astype("<u8").tobytes()
                 put(block % columns, block, who, m, low[own], np.full(len(own), _MOST).tobytes(), facts)
+            del low, owner, hot
             yield batch(_PACKET, out)
 
     return run
 
 
 def _count(columns: int, rows: int):
-    """Column blocks: document counts, and the shared shingles back to the row blocks."""
+    """Column blocks: document counts, and the shared shingles back to the row blocks.
+
+    A block is counted in passes by the lowest bits of the hashes, so that only a part of it is unpacked and sorted at a time.
+    """
 
     def run(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind = table["block"].to_numpy()
-        passing = table.filter(pa.array(kind >= 0))
-        for part in passing.to_batches():
-            yield part
-        counted = table.filter(pa.array(kind == -1))
-        if not counted.num_rows:
+        kind = table["block"].to_numpy().copy()  # views would keep the table
+        yield from table.filter(pa.array(kind >= 0)).to_batches()
+        if not (kind == -1).any():
             return
-        hashes = np.concatenate([unpack(v) for v in counted["hashes"].to_pylist()])
-        lens = np.concatenate(arrays(counted["lens"], "<u4"))
-        ids, uids = np.concatenate(arrays(counted["ids"], "<i8")), np.concatenate(arrays(counted["uids"], "<u8"))
+        whole = cells(table["hashes"])
+        raw = np.concatenate([v for v, k in zip(whole, kind, strict=True) if k == -1]).reshape(-1, 6)
+        marked = np.concatenate([np.zeros(0, np.uint64), *(unpack(v) for v, k in zip(whole, kind, strict=True) if k == -2)])
+        ids, uids, lens = (np.concatenate(arrays(table[c], t)) for c, t in (("ids", "<i8"), ("uids", "<u8"), ("lens", "<u4")))
+        counted = np.repeat(kind == -1, [len(v) // 8 for v in cells(table["ids"])])  # rows that only pass have ids too
+        ids, uids, lens = ids[counted], uids[counted], lens[counted]
+        del table, whole, counted
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), lens)  # places in ids and uids
-        marked = [unpack(v) for v in table.filter(pa.array(kind == -2))["hashes"].to_pylist()]
-        order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
-        del order
-        starts, lengths = runs(hashes)
-        counts = lengths.astype(np.uint32)
-        if marked:
-            counts[np.isin(hashes[starts], np.concatenate(marked))] = _MOST
-        shared = np.repeat(counts >= 2, lengths)
-        times = np.repeat(counts[counts >= 2], lengths[counts >= 2])
-        hashes, owner = hashes[shared], owner[shared]
-        for block, some in _split((uids[owner] % np.uint64(rows)).astype(np.int32), rows):
+        last = np.uint8((1 << min(8, (len(raw) // PER_PASS).bit_length())) - 1)
+        turn, found = raw[:, 0] & last, []
+        for k in range(int(last) + 1):
+            at = np.flatnonzero(turn == k)
+            hashes = unpack(raw[at])
+            order = np.argsort(hashes, kind="stable")
+            hashes, own = hashes[order], owner[at[order]]
+            starts, lengths = runs(hashes)
+            counts = lengths.astype(np.uint32)
+            counts[np.isin(hashes[starts], marked[marked & np.uint64(last) == k])] = _MOST
+            often = counts >= 2
+            shared = np.repeat(often, lengths)
+            found.append((hashes[shared], own[shared], np.repeat(counts[often], lengths[often])))
+        del raw, owner, turn, at, order, own, starts, lengths, often, shared
+        hashes, owner, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        for block, some in _split((uids % np.uint64(rows)).astype(np.int32)[owner], rows):
             own = owner[some]
             places = some[np.lexsort((ids[own], uids[own]))]
             who = owner[places]
@@ -202,12 +222,13 @@ def _assemble(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Row blocks: each document's shared shingles, rarest first; none if size alone rules out any partner."""
     lens = np.concatenate(arrays(table["lens"], "<u4"))
     uids = np.repeat(np.concatenate(arrays(table["uids"], "<u8")), lens)
-    hashes = np.concatenate([unpack(v) for v in table["hashes"].to_pylist()])
+    hashes = unpack(np.concatenate(cells(table["hashes"])))
     counts = np.concatenate(arrays(table["counts"], "<u4"))
     order = np.lexsort((hashes, counts, uids))
     same = (np.diff(uids[order]) == 0) & (np.diff(hashes[order]) == 0) & (np.diff(counts[order]) == 0) if len(order) else np.zeros(0, bool)
     order = order[np.r_[True, ~same]] if len(order) else order
     uids, hashes = uids[order], hashes[order]
+    del order, same, counts
     for row in table.to_batches():
         for ids, own, facts in zip(arrays(row["ids"], "<i8"), arrays(row["uids"], "<u8"), row["facts"].to_pylist(), strict=True):
             if not facts:
@@ -231,11 +252,11 @@ def _prefixes(columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rep, n, label, star = (part.column(k).to_numpy() for k in ("rep", "n", "label", "star"))
-            sets = [unpack(v) for v in part.column("ordered").to_pylist()]
-            size = n - -(-NEED * n // OF) + 1 - (n - np.array([len(s) for s in sets], np.int64))
-            size = np.maximum(size, 0)
-            hashes = np.concatenate([s[:k] for s, k in zip(sets, size, strict=True)] + [np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(sets)), np.minimum(size, [len(s) for s in sets]))
+            sets = cells(part.column("ordered"))
+            held = np.array([len(s) // 6 for s in sets], np.int64)
+            size = np.maximum(n - -(-NEED * n // OF) + 1 - (n - held), 0)
+            hashes = unpack(np.concatenate([np.zeros(0, np.uint8), *(s[: 6 * k] for s, k in zip(sets, size, strict=True))]))
+            owner = np.repeat(np.arange(len(sets)), np.minimum(size, held))
             out = [[] for _ in _POST]
             for bucket, at in _split(_bucket(hashes, columns), columns):
                 who = owner[at]
@@ -247,7 +268,7 @@ def _prefixes(columns: int):
 
 
 def _lists(table: pa.Table):
-    hashes = np.concatenate([unpack(v) for v in table["hashes"].to_pylist()])
+    hashes = unpack(np.concatenate(cells(table["hashes"])))
     who, n, label, star = (np.concatenate(arrays(table[k], "<i8")) for k in ("who", "n", "label", "star"))
     order = np.lexsort((who, hashes))
     starts, lengths = runs(hashes[order])
@@ -313,12 +334,12 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b, na, nb = (part.column(k).to_numpy() for k in ("a", "b", "na", "nb"))
             both = [
                 len(np.intersect1d(unpack(x), unpack(y)))
-                for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)
+                for x, y in zip(cells(part.column("sa")), cells(part.column("sb")), strict=True)
             ]
             yield batch(_PAIR, [a, b, na, nb, both])
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(run, _PAIR_SQL).withColumnRenamed("hits", "both")
+    return joined.mapInArrow(released(run), _PAIR_SQL).withColumnRenamed("hits", "both")
 
 
 def _links() -> Column:
@@ -414,7 +435,7 @@ def _joined(docs: DataFrame, key: str, text: str, units: int | None) -> DataFram
     if units is None:
         units = (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // 6 + 1
     n = sized(docs, units, PER_BLOCK)
-    packets = slim.mapInArrow(_packets(n, n), _PACKET_SQL)
+    packets = slim.mapInArrow(released(_packets(n, n)), _PACKET_SQL)
     counted = grouped(packets, "bucket", n, _count(n, n), _PACKET_SQL)
     rows = checkpointed(grouped(counted, "block", n, _assemble, _DOC_SQL))
     classes = rows.where(F.col("ordered").isNotNull()).groupBy("n", "one", "two").agg(
@@ -431,7 +452,7 @@ def _joined(docs: DataFrame, key: str, text: str, units: int | None) -> DataFram
                 .join(near.select(F.col("b").alias("rep"), F.col("a").alias("star")), "rep", "left")
                 .withColumns({"label": F.coalesce("label", "rep"), "star": F.coalesce("star", "rep")})
             )
-        posts = named.select("rep", "n", "label", "star", "ordered").mapInArrow(_prefixes(n), _POST_SQL)
+        posts = named.select("rep", "n", "label", "star", "ordered").mapInArrow(released(_prefixes(n)), _POST_SQL)
         found = grouped(posts, "bucket", n, step, _PAIR_SQL)
         return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
 
@@ -486,7 +507,8 @@ def _oracle(rounds: int = 12) -> str:
         labels += f""", l{k + 1} as (select l.doc_id, least(l.label, coalesce(m.label, l.label)) as label from l{k} l left join
   (select u as doc_id, min(label) as label from links join l{k} on doc_id = v group by 1) m on m.doc_id = l.doc_id)"""
     return rf"""
-with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
 n as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by 1),
 classes as (select doc_id, n, min(doc_id) over (partition by h) as class_id from n),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import batch, text_chunks
+from .blocks import batch, released, text_chunks
 from .common import checkpointed
 from .tokens import task_encoder
 
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                             column.append(value)
                 yield batch(_PIECE, out)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _PIECE_SQL)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(released(run), _PIECE_SQL)
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
