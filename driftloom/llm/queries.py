@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, fingerprints, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
+from . import chat, collocations, fingerprints, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of two to three words in all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op12_collocations": op12_collocations,
     }
 
 
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mixing": mixing.ORACLE,
         "op9_chat_formatting": chat.ORACLE,
         "op10_ngram_jaccard": ngram_join.ORACLE,
+        "op12_collocations": collocations.ORACLE,
     }
