@@ -288,8 +288,8 @@ def _summed(a, b, na, nb) -> pa.RecordBatch:
     return batch(_PAIR, [a[s], b[s], na[s], nb[s], np.diff(np.r_[s, len(a)])])
 
 
-def _near(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return OF * np.minimum(na, nb) >= NEED * np.maximum(na, nb)
+def _near(na: np.ndarray, nb: np.ndarray, need: int = NEED) -> np.ndarray:
+    return OF * np.minimum(na, nb) >= need * np.maximum(na, nb)
 
 
 def _stars(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -342,34 +342,38 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(released(run), _PAIR_SQL).withColumnRenamed("hits", "both")
 
 
-def _links() -> Column:
-    return F.expr(f"{OF} * both >= {NEED} * (na + nb - both)")
+def _links(need: int = NEED) -> Column:
+    return F.expr(f"{OF} * both >= {need} * (na + nb - both)")
 
 
 _EDGE = [("a", pa.int64()), ("b", pa.int64())]
 
 
-def _multiply(rows: pa.Table, columns: pa.Table) -> pa.Table:
+def _multiply(need: int):
     """The links of one block of a star's product: rows outside the centre's component with all columns of the block."""
-    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-    if rows.num_rows and columns.num_rows:
-        sets = [unpack(v) for v in columns["ordered"].to_pylist()]
-        rep, n, label = (columns[k].to_numpy() for k in ("rep", "n", "label"))
-        known, code = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-        for r, m, own, raw in zip(*(rows[k].to_pylist() for k in ("rep", "n", "label", "ordered")), strict=True):
-            flags = np.zeros(len(known), np.int32)
-            mine = unpack(raw)
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            flags[at[known[at] == mine]] = 1
-            both = np.add.reduceat(flags[code], starts)
-            good = (label != own) & (OF * both >= NEED * (n + m - both))
-            found[0].append(rep[good])
-            found[1].append(np.full(int(good.sum()), r))
-    return pa.Table.from_batches([batch(_EDGE, [np.concatenate(x) for x in found])])
-
-
-def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+
+    def run(rows: pa.Table, columns: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        if rows.num_rows and columns.num_rows:
+            sets = [unpack(v) for v in columns["ordered"].to_pylist()]
+            rep, n, label = (columns[k].to_numpy() for k in ("rep", "n", "label"))
+            known, code = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+            for r, m, own, raw in zip(*(rows[k].to_pylist() for k in ("rep", "n", "label", "ordered")), strict=True):
+                flags = np.zeros(len(known), np.int32)
+                mine = unpack(raw)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                flags[at[known[at] == mine]] = 1
+                both = np.add.reduceat(flags[code], starts)
+                good = (label != own) & (OF * both >= need * (n + m - both))
+                found[0].append(rep[good])
+                found[1].append(np.full(int(good.sum()), r))
+        return pa.Table.from_batches([batch(_EDGE, [np.concatenate(x) for x in found])])
+
+    return run
+
+
+def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame, need: int = NEED) -> DataFrame:
     """Links inside stars whose members are not yet in one component.
 
     A star is a centre and the classes near it. Members in the centre's component need no product with each other; every
@@ -395,7 +399,7 @@ def _star_products(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> D
     columns, rows = cells(mixed_stars, every, own), cells(mixed_stars.where("label <> centre"), own, every)
     cell = ("star", "down", "across")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides have one origin
-    return fresh(rows).groupBy(*cell).cogroup(fresh(columns).groupBy(*cell)).applyInArrow(_multiply, "a long, b long")
+    return fresh(rows).groupBy(*cell).cogroup(fresh(columns).groupBy(*cell)).applyInArrow(_multiply(need), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -500,7 +504,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return kept.groupBy(own).agg(F.min_by(row, F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
 
 
-def _oracle(rounds: int = 12) -> str:
+def _oracle(rounds: int = 12, words: int = WORDS, need: int = NEED, also: str = "") -> str:
     """The join as SQL over all pairs that share a shingle; labels go through ``rounds`` of least-label propagation."""
     labels = "l0 as (select doc_id, doc_id as label from w)"
     for k in range(rounds):
@@ -509,13 +513,13 @@ def _oracle(rounds: int = 12) -> str:
     return rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
 ]+') as w from documents),
-s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= {words} then list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i+{words - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
 n as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by 1),
 classes as (select doc_id, n, min(doc_id) over (partition by h) as class_id from n),
 pairs as (select x.doc_id as u, y.doc_id as v, count(*) as hits from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
-links as (select u, v from pairs join n p on p.doc_id = u join n q on q.doc_id = v where 100 * hits >= 80 * (p.n + q.n - hits)),
+links as (select u, v from pairs join n p on p.doc_id = u join n q on q.doc_id = v where 100 * hits >= {need} * (p.n + q.n - hits)),
 {labels}
-select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(class_id, w.doc_id) as class_id, label as component_id
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(class_id, w.doc_id) as class_id, label as component_id{also}
 from w left join classes using (doc_id) join l{rounds} using (doc_id)
 """
 

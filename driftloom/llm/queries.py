@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, collocations, fingerprints, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
+from . import chat, collocations, fingerprints, minhash, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under three-word shingle Jaccard of at least 0.85, from signatures."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op12_collocations": op12_collocations,
+        "op13_minhash": op13_minhash,
     }
 
 
@@ -101,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_formatting": chat.ORACLE,
         "op10_ngram_jaccard": ngram_join.ORACLE,
         "op12_collocations": collocations.ORACLE,
+        "op13_minhash": minhash.ORACLE,
     }
