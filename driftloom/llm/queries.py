@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.tables import table
 
-from . import chat, collocations, fingerprints, minhash, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, token_files
+from . import chat, collocations, fingerprints, minhash, mixing, ngram_join, packing, pii, quality, repair, suffix_dedup, token_counts, token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, and the cheapest edits that repair them."""
+    whole = table(spark, sf_dir, "conversations")
+    damaged = repair.damage(whole)
+    return repair.digest(repair.repair(damaged), damaged, whole)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collocations of two to three words in all documents."""
     return collocations.mine(table(spark, sf_dir, "documents"))
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_collocations": op12_collocations,
         "op13_minhash": op13_minhash,
     }
