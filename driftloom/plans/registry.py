@@ -11,7 +11,7 @@ from driftloom.functions.columns import words
 from driftloom.operators import cooccur, dedup, domains, graph, rules, scoring, text, timeseries, vectors
 from driftloom.sources.tables import table
 
-from . import cluster_plans, code_plans, function_plans, graph_plans, history_plans, issue_plans
+from . import cluster_plans, code_plans, function_plans, graph_plans, history_plans, issue_plans, search_plans
 from .adapters import BASKETS, EDGES, ISSUES, WEIGHT, WEIGHTS, baskets, edges, events, issues, nodes, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,7 @@ def _ranges(s: SparkSession, d: str) -> DataFrame:
 
 
 #: Families of queries in modules of their own.
-FAMILIES = [*issue_plans.PLANS, *graph_plans.PLANS, *function_plans.PLANS, *code_plans.PLANS, *history_plans.PLANS, *cluster_plans.PLANS]
+FAMILIES = [*issue_plans.PLANS, *graph_plans.PLANS, *function_plans.PLANS, *code_plans.PLANS, *history_plans.PLANS, *cluster_plans.PLANS, *search_plans.PLANS]
 
 
 def queries() -> dict[str, Query]:
