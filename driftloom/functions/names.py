@@ -20,11 +20,99 @@ NAME_VERBS = (
 )
 VERB_GROUPS = (("get", "fetch", "retrieve"), ("set", "update", "save"), ("create", "make", "build"), ("delete", "remove", "destroy"), ("check", "verify", "validate"))
 SECRET = r"(?i)(api[_-]?key|token|secret|password|credential)[\"']?\s*[:=]\s*[\"']?([^\"'\s]+)"
+# Kinds of leftovers in the order that decides, and the forms of a relative path that make each. Case doesn't count.
 JUNK = {
-    "os": r"^(\.DS_Store|Thumbs\.db|desktop\.ini|ehthumbs\.db)$", "editor": r"\.(swp|swo|swn)$|\.sublime-workspace$|^\.#", "temp": r"\.(tmp|temp|orig)$|~$|^(tmp|temp)_",
-    "backup": r"\.(bak|old|save)$|\.backup\d*$|\.\d{8}$|_(backup|old)$|\(copy\)", "debug": r"\.(log|stackdump|trace|debug)$|^core\.\d+$|^nohup\.out$",
-    "python": r"^__pycache__/?$|\.py[co]$", "build": r"^(dist|build|target|out|bin)/?$|\.egg-info/?$|\.(exe|dll|so|dylib)$",
-}
+    "temp": (
+        r".*\.tmp$",
+        r".*\.temp$",
+        r".*~$",
+        r".*\.orig$",
+        r"tmp_.*",
+        r"temp_.*",
+    ),
+    "backup": (
+        r".*\.bak$",
+        r".*\.backup\d*$",
+        r".*\.backup$",
+        r".*\.old$",
+        r".*\.\d{8}$",
+        r".*_backup$",
+        r".*_old$",
+        r".*\(copy\).*",
+        r".*\.save$",
+    ),
+    "build": (
+        r"^dist/?$",
+        r"^build/?$",
+        r"^target/?$",
+        r".*\.egg-info/?$",
+        r"^out/?$",
+        r"^bin/?$",
+        r".*\.exe$",
+        r".*\.dll$",
+        r".*\.so$",
+        r".*\.dylib$",
+    ),
+    "editor": (
+        r".*\.swp$",
+        r".*\.swo$",
+        r".*\.swn$",
+        r"\.\#.*",
+        r".*\.sublime-workspace$",
+        r".*\.kate-swp$",
+        r"\.idea/workspace\.xml$",
+        r"\.vscode/.*\.json$",
+    ),
+    "os": (
+        r"^\.DS_Store$",
+        r"^Thumbs\.db$",
+        r"^desktop\.ini$",
+        r"^\$RECYCLE\.BIN/?$",
+        r"^\.Spotlight-V100/?$",
+        r"^\.Trashes/?$",
+        r"^ehthumbs\.db$",
+        r"^\.fseventsd/?$",
+    ),
+    "debug": (
+        r".*\.log$",
+        r".*\.stackdump$",
+        r"^core\.\d+$",
+        r"^nohup\.out$",
+        r".*\.trace$",
+        r".*\.debug$",
+        r"^debug\.txt$",
+        r"^error\.txt$",
+    ),
+    "test": (
+        r"^\.coverage.*$",
+        r"^coverage\.xml$",
+        r"^coverage\.json$",
+        r"^\.nyc_output/?$",
+        r"^test-results/?$",
+        r"^test-reports/?$",
+        r"^junit\.xml$",
+    ),
+    "python": (
+        r"^__pycache__/?$",
+        r".*\.pyc$",
+        r".*\.pyo$",
+        r".*\.pyd$",
+        r"^\.pytest_cache/?$",
+        r"^\.mypy_cache/?$",
+        r"^\.tox/?$",
+        r"^\.nox/?$",
+        r"^\.hypothesis/?$",
+        r"^htmlcov/?$",
+        r".*\.cover$",
+    ),
+    "package": (
+        r"^node_modules/?$",
+        r"^vendor/?$",
+        r"^bower_components/?$",
+        r"^jspm_packages/?$",
+        r"^packages/?$",
+    ),
+}
 
 
 def identifier_tokens(name: Column, least: int = LEAST_TOKEN) -> Column:
@@ -66,11 +154,11 @@ def redacted(message: Column) -> Column:
     return F.regexp_replace(message, SECRET, "$1=***REDACTED***")
 
 
-def junk_kind(name: Column, kinds: Mapping[str, str] = JUNK) -> Column:
-    """The first kind of leftover whose form a file name has; null for none."""
+def junk_kind(path: Column, kinds: Mapping[str, Sequence[str]] = JUNK) -> Column:
+    """The first kind of leftover that a relative path has a form of, from its start on; null for none."""
     out = F.lit(None).cast("string")
-    for kind, form in reversed(list(kinds.items())):
-        out = F.when(name.rlike(form), kind).otherwise(out)
+    for kind, forms in reversed(list(kinds.items())):
+        out = F.when(path.rlike(f"(?i)^(?:{'|'.join(forms)})"), kind).otherwise(out)
     return out
 
 

@@ -9,7 +9,7 @@ from driftloom.functions import names, scores
 from driftloom.operators import hypervectors as hv
 from driftloom.sources.tables import table
 
-SIZE = 16
+SIZE = 64
 _VERBS = ("get", "fetch", "set", "make", "Check", "delete")
 
 
@@ -33,6 +33,18 @@ _W = f"with {PARTS}"
 _STOPS = ", ".join(f"'{w}'" for w in names.NAME_STOPS)
 
 
+#: What stands before and behind a name ("!": no name at all), and the kind of leftover that it makes.
+_JUNK = [
+    ("", ".tmp", "temp"), ("", ".TEMP", "temp"), ("", "~", "temp"), ("", ".orig", "temp"), ("tmp_", ".swp", "temp"), ("temp_", "", "temp"), ("", ".py", None), ("src/tmp_", "", None),
+    ("", ".bak", "backup"), ("", ".backup3", "backup"), ("", ".old", "backup"), ("", ".20240101", "backup"), ("", "_backup", "backup"), ("", "_old", "backup"), ("", "(copy).py", "backup"), ("", ".save", "backup"),
+    ("dist", "!", "build"), ("build/", "!", "build"), ("", ".egg-info", "build"), ("", ".dll", "build"), ("", ".so", "build"), ("", ".dylib", "build"), ("a", ".exe", "build"), ("x/dist", "!", None),
+    ("", ".swp", "editor"), ("", ".kate-swp", "editor"), (".#", "", "editor"), ("", ".sublime-workspace", "editor"), (".idea/workspace.xml", "!", "editor"), (".vscode/", ".json", "editor"),
+    (".DS_Store", "!", "os"), ("Thumbs.DB", "!", "os"), ("$RECYCLE.BIN", "!", "os"), (".Spotlight-V100/", "!", "os"), ("", ".log", "debug"), ("core.12", "!", "debug"), ("error.txt", "!", "debug"), ("nohup.out", "!", "debug"),
+    (".coverage.host", "!", "test"), ("coverage.xml", "!", "test"), ("junit.xml", "!", "test"), ("__pycache__", "!", "python"), ("", ".pyd", "python"), (".tox", "!", "python"), ("htmlcov/", "!", "python"), ("", ".cover", "python"),
+    ("node_modules", "!", "package"), ("vendor/", "!", "package"), ("packages", "!", "package"),
+]
+
+
 def _rounded(value, places=6):
     """As SQL's round on doubles: the scaled value to the nearest whole number. Spark's own rounds the shortest decimal, whose ties differ."""
     return F.round(value * F.lit(10.0**places)) / F.lit(10.0**places)
@@ -89,8 +101,8 @@ PLANS = [
         "select p_name as gram, count(*) as parts from part where len(string_split(p_name, ' ')) = 2 group by 1"),
     ("redacted_messages", lambda s, d: parts(s, d).groupBy(names.redacted(F.col("message")).alias("message")).agg(F.count("*").alias("rows")),
         f"{_W} select 'api_key=***REDACTED***'' of ' || regexp_extract(message, ' of (.*)$', 1) as message, count(*) as rows from parts group by 1"),
-    ("junk_kinds", lambda s, d: parts(s, d).select(names.junk_kind(F.concat("snake", F.element_at(F.array(F.lit(".tmp"), F.lit(".py"), F.lit(".log"), F.lit(".bak")), (1 + F.col("p_partkey") % 4).cast("int")))).alias("kind")).groupBy("kind").agg(F.count("*").alias("files")),
-        "select ['temp', null, 'debug', 'backup'][1 + p_partkey % 4] as kind, count(*) as files from part group by 1"),
+    ("junk_kinds", lambda s, d: parts(s, d).select(names.junk_kind(F.element_at(F.array(*[F.concat(F.lit(x), F.when(F.lit(y != "!"), F.col("snake")).otherwise(""), F.lit(y.strip("!"))) for x, y, _ in _JUNK]), (1 + F.col("p_partkey") % len(_JUNK)).cast("int"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("files")),
+        f"select [{', '.join('null' if k is None else repr(k) for _, _, k in _JUNK)}][1 + p_partkey % {len(_JUNK)}] as kind, count(*) as files from part group by 1"),
     ("size_texts", lambda s, d: table(s, d, "orders").select("o_orderkey", names.size_text(F.col("o_orderkey").cast("double") * F.col("o_orderkey") * 1000).alias("size")),
         "select o_orderkey, case when b < 1024 then format('{:.1f} B', b) when b < 1024.0::double ** 2 then format('{:.1f} KB', b / 1024) when b < 1024.0::double ** 3 then format('{:.1f} MB', b / 1024.0::double ** 2) when b < 1024.0::double ** 4 then format('{:.1f} GB', b / 1024.0::double ** 3) else format('{:.1f} TB', b / 1024.0::double ** 4) end as size from (select o_orderkey, o_orderkey::double * o_orderkey * 1000 as b from orders)"),
     ("prefix_families", lambda s, d: parts(s, d).select(names.prefix_family(F.col("snake"), {"reader": ("get_", "fetch_"), "check": ("check_",)}, F.col("path")).alias("family")).groupBy("family").agg(F.count("*").alias("names")),
@@ -110,8 +122,8 @@ PLANS = [
     ("package_distances", lambda s, d: _pairs(s, d).select("p_partkey", names.package_distance(F.col("module"), F.col("next_module")).alias("distance"), names.pair_key(F.col("module"), F.col("next_module")).alias("pair")),
         f"""{_N}, m as (select *, string_split(module, '.') as a, string_split(next_module, '.') as b from nn)
         select p_partkey, (len(a) + len(b) - 2 * {_LCP.format(a='a', b='b', x='a[1:k]', y='b[1:k]')})::int as distance, sha256(least(module, next_module) || '||' || greatest(module, next_module)) as pair from m"""),
-    ("normalized_code", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(names.normalized_code(F.concat(F.substring("text", 1, 200), F.lit(" # note\n  x = 1")))).alias("code")),
-        "select doc_id, md5(trim(regexp_replace(regexp_replace(text[1:200] || ' # note\n  x = 1', '#[^\n]*', '', 'g'), '\\s+', ' ', 'g'))) as code from documents where text is not null union all select doc_id, null from documents where text is null"),
+    ("normalized_code", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(names.normalized_code(F.concat("text", F.lit(" # note\n  x = 1")))).alias("code")),
+        "select doc_id, md5(trim(regexp_replace(regexp_replace(text || ' # note\n  x = 1', '#[^\n]*', '', 'g'), '\\s+', ' ', 'g'))) as code from documents where text is not null union all select doc_id, null from documents where text is null"),
     ("polymer_scores", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", _rounded(scores.polymer_distance({"token": F.col("l_extendedprice") / 100, "ast": F.col("l_quantity"), "module": F.col("l_linenumber").cast("double"), "git": F.col("l_discount")})).alias("distance"),
         _rounded(scores.contact(F.col("l_quantity"), scores.tad_penalty(F.nullif("l_returnflag", F.lit("N")), F.when(F.col("l_linestatus") == "F", "R").otherwise("A"), F.col("l_discount"), F.col("l_tax")))).alias("contact")),
         """select l_orderkey, l_linenumber, round(0.3::double * least(1.0::double, l_extendedprice / 100 / 1000) + 0.25::double * least(1.0::double, l_quantity / 100) + 0.25::double * least(1.0::double, l_linenumber / 10.0::double) + 0.2::double * least(1.0::double, l_discount), 6) as distance,

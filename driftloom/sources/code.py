@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import ast
 import builtins
+import fnmatch
 import hashlib
+import re
 import symtable
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +25,86 @@ DROPS = 3
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.BoolOp)
 
 
-def read(spark: SparkSession, folder: str, suffix: str = "*.py") -> DataFrame:
-    """All files below a folder that match, but hidden ones and caches: path, text. Any scheme that Spark's readers know works."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(folder, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return named.where(~F.col("path").rlike(r"/(\.[^/]+|__pycache__)/"))
-
-
-def ignored(path: F.Column, patterns: list[str]) -> F.Column:
-    """Whether a relative path, or a folder above it, matches an ignore pattern (``*``, ``?``, ``**``, trailing ``/`` for folders)."""
-    found = F.lit(False)
-    for pattern in patterns:
+def read(spark: SparkSession, folder: str, suffix: str = "*.py", include: Sequence[str] = (), exclude: Sequence[str] = (), ignore: Sequence[str] = ()) -> DataFrame:
+    """The files below a folder that match: path, relative, text. Any scheme that Spark's readers know works.
+
+    Hidden folders and caches below the folder are left out, wherever it lies itself. ``include`` keeps what lies in these relative folders (or
+    is named so), ``exclude`` drops such, and ``ignore`` are the lines of an ignore file. Spark's readers skip names that begin with a
+    dot or an underscore, ``__init__.py`` among them; those are listed apart and read through Arrow's file systems.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = files.makeQualified(where).toUri().getPath().rstrip("/")
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(folder, wholetext=True)
+    # the scheme and host may be spelled in other ways, the path is not
+    bare = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9+.-]+:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
+    named = found.select(F.col("_metadata.file_path").alias("path"), F.substr(bare, F.lit(len(root) + 2)).alias("relative"), F.col("value").alias("text"))
+    skipped, listed = [], files.listFiles(where, True)
+    while listed.hasNext():
+        at = listed.next().getPath()
+        relative = at.toUri().getPath()[len(root) + 1 :]
+        if fnmatch.fnmatchcase(at.getName(), suffix) and re.search(r"(^|/)[._]", relative):
+            skipped.append((at.toString(), relative))
+    if skipped:
+        apart = spark.createDataFrame(skipped, "path string, relative string")
+        named = named.where(~F.col("relative").rlike("(^|/)[._]")).unionByName(apart.mapInArrow(_opened, "path string, relative string, text string"))
+    inside = lambda folders: F.exists(F.array(*[F.lit(f.strip("/")) for f in folders]), lambda f: (F.col("relative") == f) | F.col("relative").startswith(F.concat(f, F.lit("/"))))
+    kept = ~F.col("relative").rlike(r"(^|/)(\.[^/]+|__pycache__)/")
+    if include and "." not in include:
+        kept = kept & inside(include)
+    if exclude:
+        kept = kept & ~inside(exclude)
+    return named.where(kept & ~ignored(F.col("relative"), ignore))
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        texts = []
+        for path in batch.column("path").to_pylist():
+            system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+            with system.open_input_stream(at) as stream:
+                texts.append(stream.read().decode("utf-8", "replace"))
+        yield batch.append_column("text", pa.array(texts, pa.string()))
+
+
+def _form(body: str) -> str:
+    """A pattern's body as a regular expression: ``*``, ``?``, ``[...]`` and ``**``."""
+    out, k = "", 0
+    while k < len(body):
+        end = body.find("]", k + 2)
+        if body.startswith("**/", k):
+            out, k = out + "(.*/)?", k + 3
+        elif body.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif body[k] == "[" and end > 0:
+            inner = body[k + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, k = out + "[" + ("^/" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+        elif body[k] == "\\" and k + 1 < len(body):
+            out, k = out + re.escape(body[k + 1]), k + 2
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(body[k], re.escape(body[k])), k + 1
+    return out
+
+
+def ignored(path: F.Column, patterns: Sequence[str]) -> F.Column:
+    """Whether the lines of an ignore file leave a relative path out.
+
+    ``*``, ``?``, ``[...]`` (``[!...]``), ``**``, ``\\`` before a mark, a slash in front or inside for paths from the root, a trailing one for folders and
+    ``!`` to take a path in again. The last line that matches the path, or else a folder above it, decides, so what lies in a folder that is left out stays out unless a line takes in
+    the folder or the path itself. Empty lines and ``#`` lines count for nothing; null gives null.
+    """
+    found = F.when(path.isNull(), F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    for line in patterns:
+        pattern = line.strip()
+        if not pattern or pattern.startswith("#"):
+            continue
+        take_in, pattern = pattern.startswith("!"), pattern.removeprefix("!")
         body = pattern.strip("/")
-        regex = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, c if c.isalnum() or c in "_/-" else "\\" + c) for c in body.replace("**", "\0")).replace("\\\0", ".*")
-        start = "^" if "/" in body else "(^|/)"
-        found = found | path.rlike(f"{start}{regex}{'/' if pattern.endswith('/') else '(/|$)'}")
+        start = "^" if "/" in pattern.rstrip("/") else "(^|.*/)"
+        hit = path.rlike(f"{start}{_form(body)}{'/' if pattern.endswith('/') else '(/|$)'}")
+        found = F.when(hit, not take_in).otherwise(found)
     return found
 
 

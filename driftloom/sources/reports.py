@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import versions
+
 LEVELS = {5: "error", 4: "error", 3: "warning", 2: "note", 1: "note"}
 
 
 def xml_text(value: Column) -> Column:
-    """A value as XML text or attribute; null is empty."""
-    out = F.coalesce(value.cast("string"), F.lit(""))
+    """A value as XML text or attribute; null is empty, and characters that XML 1.0 doesn't allow become U+FFFD."""
+    out = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), "[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]", "\ufffd")
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(mark), F.lit(entity))
     return out
@@ -30,7 +32,7 @@ def _framed(body: DataFrame, head: str, tail: str) -> DataFrame:
 
 
 def sarif(issues: DataFrame, nth: str, message: str, tool: str = "driftloom") -> DataFrame:
-    """A SARIF 2.1.0 log: each body line is one result object; commas stand at line starts, so no line needs to know the last."""
+    """A SARIF 2.1.0 log: each body line is one result object, behind a comma if it isn't the first one."""
     level = F.lit("none")
     for severity, name in LEVELS.items():
         level = F.when(F.col("severity") == severity, name).otherwise(level)
@@ -39,8 +41,11 @@ def sarif(issues: DataFrame, nth: str, message: str, tool: str = "driftloom") ->
         F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))),
     )
     result = F.to_json(F.struct(F.col("kind").alias("ruleId"), level.alias("level"), F.struct(F.coalesce(F.col(message).cast("string"), F.lit("")).alias("text")).alias("message"), place.alias("locations")))
-    head = '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "%s"}}, "results": [null' % tool
-    return _framed(issues.select(F.col(nth).alias("nth"), F.concat(F.lit(","), result).alias("line")), head, "]}]}")
+    head = '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "%s"}}, "results": [' % tool
+    lines = issues.select(F.col(nth).alias("nth"), result.alias("line"))
+    first = lines.agg(F.min("nth")).first()[0]
+    ahead = F.when((F.col("nth") == F.lit(first)) & (F.row_number().over(Window.partitionBy("nth").orderBy("line")) == 1), "").otherwise(",")
+    return _framed(lines.withColumn("line", F.concat(ahead, "line")), head, "]}]}")
 
 
 def junit(issues: DataFrame, nth: str, message: str, suite: str = "issues") -> DataFrame:
@@ -98,13 +103,16 @@ def write_lines(report: DataFrame, folder: str) -> None:
 
 
 def replace_dataset(rows: DataFrame, folder: str) -> None:
-    """Writes a new dataset beside ``folder`` and renames it into place, so readers see the old one or the whole new one."""
-    spark = rows.sparkSession
-    fresh, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(fresh)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(path(folder)):
-        files.rename(path(folder), path(old))
-    files.rename(path(fresh), path(folder))
-    files.delete(path(old), True)
+    """Stores a dataset as the next version of ``folder``; ``dataset`` reads it. Readers see the old one or the whole new one at any
+    time, and a crash in between leaves the old one. The version before the old one is removed."""
+    spark, held = rows.sparkSession, versions.numbers(rows.sparkSession, folder)
+    name = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{name}")
+    versions.commit(spark, folder, held[-1] + 1 if held else 0, {"data": name})
+    if len(held) > 1:
+        versions.forget(spark, folder, versions.read(spark, folder, held[-2])["data"])
+
+
+def dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a dataset that ``replace_dataset`` stored."""
+    return spark.read.parquet(f"{folder}/{versions.read(spark, folder, versions.numbers(spark, folder)[-1])['data']}")

@@ -6,14 +6,17 @@ checkpoint location recovers after a lost executor. Rows with null keys share on
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from driftloom.sources.reports import replace_dataset
+from driftloom.sources import versions
 
 
 def throttled(stream: DataFrame, key: str, every: int = 5) -> DataFrame:
@@ -75,22 +78,44 @@ def counters(stream: DataFrame, key: str, success: str) -> DataFrame:
     return stream.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("tries"), F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"))
 
 
-def upserted(spark: SparkSession, folder: str, key: str, version: str, deleted: str):
-    """A ``foreachBatch`` writer that keeps the newest row of each key in a dataset; newest rows marked deleted go.
+def upserted(spark: SparkSession, folder: str, key: str, version: str, deleted: str, buckets: int = 64):
+    """A ``foreachBatch`` writer that keeps the newest row of each key in a dataset; ``current`` reads it.
 
-    The dataset is replaced whole and atomically with each batch, so a batch that is tried again gives the same dataset.
+    Keys are dealt into ``buckets``; a batch rewrites those that it touches, and its version of the dataset (``sources.versions``) names the
+    files of every bucket, so a batch that is tried again, or fails half-way, changes nothing that readers see. Newest rows that are
+    marked deleted stay as tombstones, so an older row that comes late brings nothing back. Of rows of one version a
+    deleted one counts, then the one with the largest hash. A null mark is not deleted; rows without key stay out.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        there = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(folder)) if there else batch
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), F.struct(F.col(version), F.col(deleted).cast("int"))).alias("r"))
-        replace_dataset(newest.select("r.*").where(~F.col(deleted)), folder)
+    def write(batch: DataFrame, number: int) -> None:
+        columns = batch.columns
+        own = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = batch.where(F.col(key).isNotNull()).withColumn(deleted, F.coalesce(deleted, F.lit(False))).withColumn("_bucket", own)
+        done = versions.numbers(spark, folder)
+        before = versions.read(spark, folder, done[-1]) if done else {"batch": -1, "buckets": {}}
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+        if number <= before["batch"] or not touched:
+            return
+        old = [before["buckets"][str(b)] for b in touched if str(b) in before["buckets"]]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*[f"{folder}/{at}" for at in old]).withColumn("_bucket", own))
+        order = F.struct(F.col(version), F.col(deleted).cast("int"), F.xxhash64(*columns))
+        newest = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(*columns), order).alias("r")).select("_bucket", "r.*")
+        name = f"batch-{number}-{uuid.uuid4().hex}"
+        newest.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{folder}/{name}")
+        named = before["buckets"] | {str(b): f"{name}/_bucket={b}" for b in touched}
+        versions.commit(spark, folder, done[-1] + 1 if done else 0, {"batch": number, "buckets": named, "schema": batch.schema.json()})
 
     return write
 
 
+def current(spark: SparkSession, folder: str, deleted: str) -> DataFrame:
+    """The rows of an ``upserted`` dataset that are not deleted."""
+    says = versions.read(spark, folder, versions.numbers(spark, folder)[-1])
+    schema = StructType.fromJson(json.loads(says["schema"]))
+    return spark.read.schema(schema).parquet(*[f"{folder}/{at}" for at in sorted(says["buckets"].values())]).where(~F.col(deleted))
+
+
 def run_once(stream: DataFrame, write, checkpoint: str) -> None:
     """Feeds all that is there to a batch writer and stops; the checkpoint remembers how far it came, so the next run resumes."""
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import detectors, models, signatures, vectors
+from driftloom.sources import versions
 from driftloom.sources import code, gitlog, reports
 from driftloom.streaming import stateful
 
@@ -24,7 +25,9 @@ def _text(report):
 
 def test_reports_are_well_formed(spark, issues, tmp_path):
     log = json.loads(_text(reports.sarif(issues, "nth", "message")))
-    results = [r for r in log["runs"][0]["results"] if r]
+    results = log["runs"][0]["results"]
+    assert json.loads(_text(reports.sarif(issues.where("nth > 0"), "nth", "message")))["runs"][0]["results"] == results[1:]
+    assert json.loads(_text(reports.sarif(issues.where("1 = 0"), "nth", "message")))["runs"][0]["results"] == []
     assert [r["level"] for r in results] == ["error", "note", "error"] and results[0]["message"]["text"] == 'say "x"'
     assert results[0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 7
     suite = xml.dom.minidom.parseString(_text(reports.junit(issues, "nth", "message")))
@@ -41,12 +44,25 @@ def test_reports_are_well_formed(spark, issues, tmp_path):
     assert reports.sarif(issues.where("1 = 0"), "nth", "message").count() == 2
 
 
+def test_marks_that_xml_does_not_allow(spark):
+    odd = spark.createDataFrame([(0, "k\x00", 3, "a\x01.py", 1, "bell \x07 tab \t smile \U0001f600 \ufffe end")], "nth long, kind string, severity int, file string, line int, message string")
+    case = xml.dom.minidom.parseString(_text(reports.junit(odd, "nth", "message"))).getElementsByTagName("failure")[0]
+    assert case.getAttribute("message").replace("\t", " ") == "bell \ufffd tab   smile \U0001f600 \ufffd end"
+
+
 def test_replace_dataset(spark, tmp_path):
     folder = str(tmp_path / "set")
-    reports.replace_dataset(spark.range(3), folder)
-    reports.replace_dataset(spark.range(5), folder)
-    assert spark.read.parquet(folder).count() == 5
-    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["set"]
+    for n in (3, 5, 7):
+        reports.replace_dataset(spark.range(n), folder)
+        assert reports.dataset(spark, folder).count() == n
+    old = reports.dataset(spark, folder)
+    with pytest.raises(FileExistsError):
+        versions.commit(spark, folder, 2, {"data": "other"})
+    spark.range(9).write.parquet(f"{folder}/data-crashed")  # written, never committed
+    assert reports.dataset(spark, folder).count() == 7
+    reports.replace_dataset(spark.range(11), folder)
+    assert old.count() == 7 and reports.dataset(spark, folder).count() == 11
+    assert len([p for p in (tmp_path / "set").iterdir() if p.name.startswith("data-")]) == 3
 
 
 LOG = "abcdef1|Ann|1000|fix import|again\nM\ta.py\nA\tb.py\n\nabcdef2|Bob|90000|Add tests for parser\n3\t1\ta.py\n-\t-\tc.bin\n\nabcdef3|Cy|90001|tidy\n"
@@ -153,10 +169,31 @@ def test_upserts(spark, tmp_path):
     folder, inbox = str(tmp_path / "table"), str(tmp_path / "in")
     rows = "id long, v int, gone boolean"
     write = stateful.upserted(spark, folder, "id", "v", "gone")
-    for part in ([(1, 1, False), (2, 1, False)], [(1, 2, False), (2, 2, True), (3, 1, False)]):
+    parts = [
+        ([(1, 1, False), (2, 1, False)], [(1, 1, False), (2, 1, False)]),
+        ([(1, 2, False), (2, 2, True), (3, 1, None)], [(1, 2, False), (3, 1, False)]),
+        ([(1, 3, True), (None, 9, False)], [(3, 1, False)]),
+        ([(1, 2, False), (2, 1, False)], [(3, 1, False)]),  # late rows bring nothing back
+        ([(1, 3, False), (2, 3, False)], [(2, 3, False), (3, 1, False)]),
+    ]
+    for part, want in parts:
         spark.createDataFrame(part, rows).coalesce(1).write.mode("append").parquet(inbox)
         stateful.run_once(spark.readStream.schema(rows).parquet(inbox), write, str(tmp_path / "check"))
-    assert sorted(tuple(r) for r in spark.read.parquet(folder).collect()) == [(1, 2, False), (3, 1, False)]
+        assert sorted(tuple(r) for r in stateful.current(spark, folder, "gone").collect()) == want
+
+
+def test_upserts_rewrite_only_what_they_touch(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    write = stateful.upserted(spark, folder, "id", "v", "gone", 16)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v int, gone boolean")
+    write(frame([(i, 1, False) for i in range(200)]), 0)
+    before = versions.read(spark, folder, 0)["buckets"]
+    write(frame([(5, 2, False)]), 1)
+    write(frame([(5, 3, False)]), 1)  # a batch that was committed
+    after = versions.read(spark, folder, versions.numbers(spark, folder)[-1])["buckets"]
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    got = {r.id: r.v for r in stateful.current(spark, folder, "gone").collect()}
+    assert got == {i: 2 if i == 5 else 1 for i in range(200)}
 
 
 def test_forest_tells_risk(spark):
