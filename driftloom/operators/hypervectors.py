@@ -6,7 +6,7 @@ by position, so they aggregate partially before they shuffle. Vectors of one bun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of the members beyond which a ternary bundle's place is not 0.
@@ -122,3 +122,18 @@ def bucket_matches(queries: DataFrame, buckets: DataFrame, key: str) -> DataFram
     """Rows that share a bucket with a query (slot, bucket): query, key, slots shared. The queries are a stated set."""
     asked = queries.select(F.col(key).alias("query"), "slot", "bucket")
     return asked.join(buckets, ["slot", "bucket"]).where(F.col("query") != F.col(key)).groupBy("query", key).agg(F.count("*").alias("shared"))
+
+
+def bucket_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, tables: int, bits: int, k: int, size: int = 64) -> DataFrame:
+    """The ``k`` most similar rows (cosine, six places) of those that share a bucket with a query: query, key, similarity, nth.
+
+    Fewer bits make larger buckets and a better recall: vectors whose neighbours are hardly nearer than others need about
+    three, well separated ones a dozen. Ties go to the smaller key. The queries are a stated set; rows without length have a similarity of 0.
+    """
+    buckets = hashed(rows, key, vector, tables, bits, size)
+    met = bucket_matches(buckets.join(queries.select(key), key, "left_semi"), buckets, key).select("query", key)
+    side = lambda name, v: rows.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias(v))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    length = F.sqrt(dot("a", "a") * dot("b", "b"))
+    scored = met.join(side("query", "a"), "query").join(side(key, "b"), key).select("query", key, F.round(F.coalesce(dot("a", "b") / F.nullif(length, F.lit(0.0)), F.lit(0.0)), 6).alias("similarity"))
+    return scored.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("nth") <= k)

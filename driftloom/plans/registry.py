@@ -28,7 +28,7 @@ def _leveled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    return text.term_counts(table(s, d, "documents"), "doc_id", "text")
+    return text.term_counts(table(s, d, "documents"), "doc_id", "text", words)
 
 
 def _tfidf(s: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def queries() -> dict[str, Query]:
         "canonical_pick": lambda s, d: dedup.canonical_pick(table(s, d, "documents"), "doc_id", "text", "n_chars"),
         "consolidation_summary": lambda s, d: dedup.consolidation(dedup.exact_groups(table(s, d, "documents"), "doc_id", "text")),
         "shingle_jaccard_pairs": lambda s, d: dedup.shingle_pairs(table(s, d, "part"), "p_partkey", "p_name", 3, 0.2),
-        "name_levenshtein_pairs": lambda s, d: dedup.name_pairs(table(s, d, "part"), "p_name", 5),
+        "name_levenshtein_pairs": lambda s, d: dedup.edit_pairs(table(s, d, "part"), "p_name", 5),
         "name_levenshtein_all_pairs": lambda s, d: dedup.edit_pairs(table(s, d, "part"), "p_name", 5),
         "minhash_signatures": lambda s, d: dedup.minhash(table(s, d, "benchmark"), "item_id", "text"),
         "lsh_bucket_stats": lambda s, d: dedup.band_stats(_bands(s, d)),
@@ -149,7 +149,7 @@ def queries() -> dict[str, Query]:
         "tad_cohesion": lambda s, d: domains.cohesion(edges(s, d), _layers(s, d).withColumnRenamed("layer", "group")),
         "contact_probability": lambda s, d: domains.contact_decay(table(s, d, "lineitem"), "l_quantity", "l_discount", (5.0, 10.0, 20.0, 40.0)),
         "decay_slope": lambda s, d: domains.decay_slope(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
-        "domain_interval_stats": lambda s, d: domains.domain_contacts(edges(s, d), _domains(s, d), "src", "dst"),
+        "domain_interval_stats": lambda s, d: domains.width_contacts(edges(s, d), 600, "src", "dst"),
         "domain_interval_stats_all": lambda s, d: domains.width_contacts(edges(s, d), 600, "src", "dst"),
         "vote_groups": _votes,
         "normalized_messages": lambda s, d: rules.normalized_messages(events(s, d), "props"),
@@ -171,7 +171,7 @@ def queries() -> dict[str, Query]:
 
 _SCORES = f"""scores as (select coalesce(file, '<global>') as module, round(sum({WEIGHT} * severity * confidence), 2) as score,
   count(*) as issues from issues group by 1)"""
-_TERMS = "terms as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) group by all)"
+_TERMS = r"terms as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by all)"
 _WORDS = "words as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as word from benchmark)"
 _SIGS = _WORDS + ", sigs as (select item_id, " + ", ".join(
     f"min(('0x' || substr(md5('{i}:' || word), 1, 8))::bigint) as h{i}" for i in range(8)
@@ -196,6 +196,11 @@ _LAYERS = EDGES + ", layers as (select distinct node, (node % 4)::int as layer f
 _ORDER = "over (partition by user_id order by ts, event_id)"
 
 
+_CONTACTS = f"""with {EDGES} select case when floor(src / 600) = floor(dst / 600) then 'intra' else 'inter' end as kind, count(*) as contacts, round(avg(abs(src - dst)), 4) as mean,
+    round(stddev_pop(abs(src - dst)), 4) as deviation from edges where src is not null and dst is not null group by 1"""
+_EDITS = "with n as (select distinct p_name as name from part) select x.name as a, y.name as b, levenshtein(x.name, y.name) as edits from n x join n y on x.name < y.name where levenshtein(x.name, y.name) <= 5"
+
+
 def _closure(pairs: str) -> str:
     """Least reachable node of each node, over (u, v) pairs in both directions."""
     return f"""sym as (select distinct u, v from ({pairs})),
@@ -227,7 +232,8 @@ def oracle_sql() -> dict[str, str]:
             s as (select key, unnest(list_distinct([substr(name, i, 3) for i in range(1, length(name) - 1)])) as g from names), n as (select key, count(*) as n from s group by 1),
             b as (select x.key as a, y.key as b, count(*) as "both" from s x join s y using (g) where x.key < y.key group by 1, 2)
             select * from (select a, b, round("both"::double / (p.n + q.n - "both"), 6) as similarity from b join n p on p.key = a join n q on q.key = b) where similarity > 0.2""",
-        "name_levenshtein_pairs": "with n as (select distinct p_name as name from part) select x.name as a, y.name as b, levenshtein(x.name, y.name) as edits from n x join n y on x.name < y.name and substr(x.name, 1, 3) = substr(y.name, 1, 3) where levenshtein(x.name, y.name) <= 5",
+        "name_levenshtein_pairs": _EDITS,
+        "name_levenshtein_all_pairs": _EDITS,
         "minhash_signatures": f"with {_SIGS} select * from sigs",
         "lsh_bucket_stats": f"with {_BANDS}, z as (select band, bucket, count(*) as n from bands group by 1, 2) select band, count(*) as buckets, count(*) filter (n > 1) as shared, max(n) as largest from z group by 1",
         "lsh_candidate_pairs": f"with {_CANDS} select * from cands",
@@ -239,7 +245,13 @@ def oracle_sql() -> dict[str, str]:
             round(tf * (ln((1.0 + (select count(*) from documents)) / (1.0 + df)) + 1), 4) as weight from terms join d using (term)),
             r as (select *, row_number() over (partition by doc_id order by weight desc, term) as nth from w) select * from r where nth <= 5""",
         "word_entropy": f"""with {_TERMS}, p as (select *, sum(tf) over (partition by doc_id) as whole from terms)
-            select doc_id, round(-sum(tf / whole * log2(tf / whole)), 4) as entropy, max(whole)::bigint as words, round(count(*) / max(whole), 4) as variety from p group by 1""",
+            select doc_id, round(-sum(tf / whole * log2(tf / whole)), 4) + 0.0::double as entropy, max(whole)::bigint as words, round(count(*) / max(whole), 4) as variety from p group by 1""",
+        "word_df": f"with {_TERMS} select term, count(*) as df, sum(tf)::bigint as uses from terms group by 1",
+        "word_tfidf_topk": f"""with {_TERMS}, d as (select term, count(*) as df from terms group by 1), w as (select doc_id, term, tf,
+            round(tf * (ln((1.0 + (select count(*) from documents)) / (1.0 + df)) + 1), 4) as weight from terms join d using (term)),
+            r as (select *, row_number() over (partition by doc_id order by weight desc, term) as nth from w) select * from r where nth <= 5""",
+        "word_entropy_all": f"""with {_TERMS}, p as (select *, sum(tf) over (partition by doc_id) as whole from terms)
+            select doc_id, round(-sum(tf / whole * log2(tf / whole)), 4) + 0.0::double as entropy, max(whole)::bigint as words, round(count(*) / max(whole), 4) as variety from p group by 1""",
         "filler_pattern_hits": "select * from (" + " union all ".join(
             f"select doc_id, '{n}' as rule, len(regexp_extract_all(text, '{p}')) as hits from documents" for n, p in FILLERS.items()
         ) + ") where hits > 0",
@@ -290,9 +302,12 @@ def oracle_sql() -> dict[str, str]:
             select g as "group", count(*) filter (inside) as internal, count(*) filter (not inside) as external, round((count(*) filter (inside))::double / count(*), 6) as cohesion from u group by 1""",
         "contact_probability": "select case when l_quantity >= 40 then 4 when l_quantity >= 20 then 3 when l_quantity >= 10 then 2 when l_quantity >= 5 then 1 else 0 end as bin, count(*) as contacts, round(avg(l_discount), 4) as strength from lineitem group by 1",
         "decay_slope": "select count(*) as n, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 4) as slope from lineitem where l_quantity > 0 and l_extendedprice > 0",
-        "domain_interval_stats": f"""with {EDGES}, d as (select range as domain, range * 600 as low, range * 600 + 499 as high from range(4))
-            select case when p.domain = q.domain then 'intra' else 'inter' end as kind, count(*) as contacts, round(avg(abs(src - dst)), 4) as mean, round(stddev_pop(abs(src - dst)), 4) as deviation
-            from edges join d p on src between p.low and p.high join d q on dst between q.low and q.high group by 1""",
+        "domain_interval_stats": _CONTACTS,
+        "domain_interval_stats_all": _CONTACTS,
+        "influence_3hop": f"""with {EDGES}, e as (select distinct src, dst from edges), h1 as (select dst as node, src as by_ from e where src <> dst),
+            h2 as (select distinct h.node, e.src as by_ from h1 h join e on e.dst = h.by_ where e.src <> h.node), h3 as (select distinct h.node, e.src as by_ from h2 h join e on e.dst = h.by_ where e.src <> h.node),
+            f as (select node, by_, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2 union all select *, 3 from h3) group by 1, 2)
+            select node, count(*) as reached, round(sum(1.0::double / hop), 4) as influence from f group by 1""",
         "vote_groups": """with p as (select s_suppkey as m, s_nationkey::varchar as x, n_regionkey::varchar as y, floor(s_acctbal / 1000)::varchar as z from supplier join nation on s_nationkey = n_nationkey)
             select p.m as a, q.m as b, ((p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int)::bigint as votes from p join p q on p.m < q.m where (p.x = q.x)::int + (p.y = q.y)::int + (p.z = q.z)::int >= 2""",
         "normalized_messages": """select regexp_replace(regexp_replace(coalesce(props, ''), '[0-9]+', 'N', 'g'), '"[^"]*"', '""', 'g') as form, count(*) as rows from events group by 1""",

@@ -132,3 +132,9 @@ def test_words_of_any_script_count(spark):
         assert sum(v > r.weight + 1e-3 for v in weight.values()) < r.nth
     entropy = {r.doc_id: r.words for r in registry.queries()["word_entropy_all"](spark, SF).collect()}
     assert entropy == {k: c.total() for k, c in counts.items() if c}
+
+
+def test_recall_of_bucket_neighbours(spark):
+    got = {(r["query"], r.vec_id) for r in registry.queries()["bucket_neighbours"](spark, SF).collect()}
+    exact = {(r.a, r.b) for r in registry.queries()["cosine_topk"](spark, SF).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
