@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def representatives(members: DataFrame, cluster: str, member: str) -> DataFrame:
     """The least member of each cluster and its size."""
@@ -80,10 +82,10 @@ def staged_sample(rows: DataFrame, key: str, strata: Mapping[str, tuple[Column,
 
     The numbers are the feature. Result: key, stage.
     """
-    order = F.md5(F.col(key).cast("string"))
+    order = [F.md5(F.col(key).cast("string")), key]
     left, out = rows, None
     for name, (value, n) in strata.items():
-        ranked = left.withColumn("nth", F.row_number().over(Window.partitionBy(value).orderBy(order, key))).where(F.col("nth") <= n)
+        ranked = numbered(left.withColumn("_value", value), order, ["_value"]).where(F.col("nth") <= n)
         got = ranked.select(key, F.lit(name).alias("stage"))
         left = left.join(got.select(key), key, "left_anti")
         out = got if out is None else out.unionByName(got)

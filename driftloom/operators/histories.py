@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def _distance(a: Column, b: Column, scale: float) -> Column:
     # least() skips nulls, so a missing state must stay one
@@ -150,20 +152,18 @@ def timings(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def batches(rows: DataFrame, group: str, size: str, tie: str, most: int = 50) -> DataFrame:
     """Chunks of at most ``most`` rows of each group in descending size: the chunk's number from 0."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.col(size).desc(), tie))
-    return rows.withColumn("batch", F.floor((nth - 1) / most).cast("int"))
+    placed = numbered(rows, [F.col(size).desc(), tie], [group], "_nth")
+    return placed.withColumn("batch", F.floor((F.col("_nth") - 1) / most).cast("int")).drop("_nth")
 
 
 def validated(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """One row: Pearson, Spearman, root mean square error and r squared of a guess.
 
-    Ranks are means over ties, found from counts of distinct values, so only those are ordered and no list is gathered.
+    Ranks are means over ties of the numbers that a range sort gives, so no task holds all rows or all values.
     """
 
     def ranks(column: str, name: str) -> DataFrame:
-        counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return counts.select(column, (upto - (F.col("n") - 1) / 2.0).alias(name))
+        return numbered(rows.select(column), [column]).groupBy(column).agg(F.avg("nth").alias(name))
 
     joined = rows.join(ranks(truth, "rt"), truth).join(ranks(guess, "rg"), guess)
     error = F.sum(F.pow(F.col(truth) - F.col(guess), F.lit(2)))
@@ -174,9 +174,11 @@ def validated(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def cross_validated(rows: DataFrame, order: Sequence[str], truth: str, guess: str, folds: int = 5) -> DataFrame:
-    """One row: mean over contiguous folds of the correlation of guess and truth. Fold bounds come from row numbers of one global sort."""
-    numbered = rows.withColumn("fold", F.ntile(folds).over(Window.orderBy(*order)))
-    by_fold = numbered.groupBy("fold").agg(F.corr(truth, guess).alias("r"))
+    """One row: mean over contiguous folds of the correlation of guess and truth. Folds differ by one row at most, larger ones first."""
+    share, more = divmod(rows.count(), folds)
+    at = F.col("_nth") - 1
+    fold = F.when(at < more * (share + 1), F.floor(at / (share + 1))).otherwise(more + F.floor((at - more * (share + 1)) / max(share, 1)))
+    by_fold = numbered(rows, order, name="_nth").groupBy(fold.alias("fold")).agg(F.corr(truth, guess).alias("r"))
     return by_fold.agg(F.count("*").alias("folds"), F.round(F.avg("r"), 6).alias("mean"))
 
 

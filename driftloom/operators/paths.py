@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _cut as cut
+from .ranks import numbered
 
 
 def import_weights(imports: DataFrame) -> DataFrame:
@@ -177,9 +178,9 @@ def intersections(facts: DataFrame) -> DataFrame:
 
 
 def top_share(rows: DataFrame, by: str, tie: str, share: float = 0.1) -> DataFrame:
-    """The highest rows by a column, a share of all but one at least; ranks come from one global sort."""
-    total = rows.count()
-    return rows.orderBy(F.col(by).desc(), tie).limit(max(1, int(total * share))) if total else rows
+    """The highest rows by a column, a share of all but one at least, in order; no task or driver holds them all."""
+    order, most = [F.col(by).desc(), F.col(tie)], max(1, int(rows.count() * share))
+    return numbered(rows, order, name="_nth").where(F.col("_nth") <= most).drop("_nth").orderBy(*order)
 
 
 def anchors(edges: DataFrame, elements: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 from .vectors import group_counts
 
 
@@ -45,9 +47,10 @@ def contact(distance: Column, alpha: float = 1.2, kappa: float = 1.0, epsilon: f
 
 def quota_sample(rows: DataFrame, stratum: str, key: str, percent: int) -> DataFrame:
     """A stated share of each stratum, at least one row, chosen by a hash of the key; the sample is the feature."""
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    ranked = rows.select(stratum, key, F.row_number().over(order).alias("_n"), F.count("*").over(Window.partitionBy(stratum)).alias("_all"))
-    return ranked.where(F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_all") * percent / 100))).select(stratum, key)
+    placed = numbered(rows.select(stratum, key), [F.md5(F.col(key).cast("string")), key], [stratum], "_n")
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.floor(F.count("*") * percent / 100)).alias("_most"))
+    kept = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    return kept.where(F.col("_n") <= F.col("_most")).select(stratum, key)
 
 
 def significance(pairs: DataFrame) -> DataFrame:
