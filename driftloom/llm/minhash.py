@@ -7,9 +7,10 @@
    chunk and the rest becomes a key, so all pairs within the distance share a key.
 3. Each class meets the first class of its keys and is compared, on whole sets, with the one that it shares most keys with:
    linear in the keys, which counts combined before the shuffle find. Components are formed. Classes at least half alike to
-   that first class are its star; stars that hold several components are multiplied in blocks of whole sets.
+   that first class are in its star, and so are their stars; stars that hold several components are multiplied in blocks of whole
+   sets, which give out links only.
 4. Keys that still hold several components and stars are multiplied in a grid of blocks of signatures. Pairs within the distance
-   are compared on whole sets.
+   leave the first key that they share and are compared on whole sets.
 
 Two sets at the threshold differ in each symbol with a probability of 0.15; more than ``DISTANCE`` of 64 differ once in about
 ten million pairs. Such a pair is lost unless other documents connect it; no pair is lost in any other way, and none is linked
@@ -138,12 +139,16 @@ def _distances(need: int, distance: int):
     def run(rows: pa.Table, columns: pa.Table) -> pa.Table:
         found = [[np.zeros(0, np.int64)] for _ in _CELL]
         if rows.num_rows and columns.num_rows:
-            whole = _rows(columns["signature"])
+            whole, mine = _rows(columns["signature"]), _rows(rows["signature"])
             rep, n, label, star = (columns[k].to_numpy() for k in ("rep", "n", "label", "star"))
-            mine = _rows(rows["signature"])
+            theirs, ours, key = keys(whole), keys(mine), rows["key"].to_numpy().view(np.uint64)[0]
+            centre = rows["centre"][0].as_py()
             for i, (r, m, own, near) in enumerate(zip(*(rows[k].to_pylist() for k in ("rep", "n", "label", "star")), strict=True)):
                 at = np.flatnonzero((label != own) & (star != near) & _near(n, m, need))
                 at = at[(whole[at] != mine[i]).sum(axis=1) <= distance]
+                at = at[(label[at] == centre) | (rep[at] < r)]  # two rows meet twice
+                same = theirs[at] == ours[i]
+                at = at[ours[i][same.argmax(axis=1)] == key]  # the first key that both have gives the pair out
                 lower = rep[at] < r
                 for held, x, y in ((0, rep[at], r), (2, n[at], m)):
                     found[held].append(np.where(lower, x, y))
@@ -174,7 +179,7 @@ def _key_products(members: DataFrame, need: int, distance: int) -> DataFrame:
     met = posts.join(open_, "key").join(members.select("rep", "n", "signature"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    grid = lambda df, down, across: df.select("key", down.alias("down"), across.alias("across"), "rep", "n", "label", "star", "signature")
+    grid = lambda df, down, across: df.select("key", down.alias("down"), across.alias("across"), "centre", "rep", "n", "label", "star", "signature")
     columns, rows = grid(met, every, own), grid(met.where("label <> centre"), own, every)
     cell = ("key", "down", "across")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides have one origin
@@ -204,9 +209,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     stars = best.join(size("a"), "a").join(size("b"), "b").select("a", "b", "na", "nb")
     met = checkpointed(_compared(stars, full.select("rep", "ordered")))
     first = met.where(_links(need)).select("a", "b")
-    near = met.where(f"100 * both >= {CLOSE} * (na + nb - both)").select("a", "b")
+    # a star takes in the stars of its members, so near texts of one family are in one
+    near = components(met.where(f"100 * both >= {CLOSE} * (na + nb - both)").select("a", "b")).select(F.col("label").alias("a"), F.col("node").alias("b"))
     labels = components(first)
-    inner = checkpointed(_star_products(near, labels, full, need))
+    inner = checkpointed(_star_products(near.where("a <> b"), labels, full, need))
     edges = first.unionByName(inner)
     if inner.take(1):
         labels = components(edges)
