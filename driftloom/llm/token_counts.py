@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch, text_chunks
-from .tokens import encoder
+from .blocks import batch, released, text_chunks
+from .tokens import task_encoder
 
 
 def allot(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
@@ -53,18 +53,19 @@ def attribute(docs: DataFrame, sections: str, key: str = "doc_id", text: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
-            out = [[] for _ in _OUT]
-            encoder(tokenizer).learn_places(texts)
-            keys, starts, ends = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("key", "starts", "ends"))
-            for k, a, z, raw in zip(keys, starts, ends, texts, strict=True):
-                first, last = encoder(tokenizer).places(raw)
-                own, crossing = allot(first, last, np.array(a or [], np.int64), np.array(z or [], np.int64))
-                counts = np.bincount(own[own >= 0], minlength=len(a or []))
-                row = (k, len(raw.decode()), len(first), int((own < 0).sum()), crossing, counts.tolist())
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            yield batch(_OUT, out)
+        with task_encoder(tokenizer) as words:
+            for part, texts in text_chunks(batches):
+                out = [[] for _ in _OUT]
+                words.learn_places(texts)
+                keys, starts, ends = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("key", "starts", "ends"))
+                for k, a, z, raw in zip(keys, starts, ends, texts, strict=True):
+                    first, last = words.places(raw)
+                    own, crossing = allot(first, last, np.array(a or [], np.int64), np.array(z or [], np.int64))
+                    counts = np.bincount(own[own >= 0], minlength=len(a or []))
+                    row = (k, len(raw.decode()), len(first), int((own < 0).sum()), crossing, counts.tolist())
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield batch(_OUT, out)
 
     slim = docs.select(
         F.col(key).cast("long").alias("key"),
@@ -72,7 +73,7 @@ def attribute(docs: DataFrame, sections: str, key: str = "doc_id", text: str = "
         F.transform(sections, lambda s: s["start"].cast("long")).alias("starts"),
         F.transform(sections, lambda s: s["end"].cast("long")).alias("ends"),
     )
-    return slim.mapInArrow(run, _OUT_SQL)
+    return slim.mapInArrow(released(run), _OUT_SQL)
 
 
 def thirds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import batch, text_chunks
+from .blocks import batch, released, text_chunks
 from .common import drop_dir, parts, shared_dir
 from .tokens import task_encoder
 
@@ -119,7 +119,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 yield batch(_IDS, [part.column(0), part.column(1), wide, blobs])
 
     slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, _IDS_SQL)
+    return slim.mapInArrow(released(run), _IDS_SQL)
 
 
 def save(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
@@ -157,7 +157,7 @@ def save(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     # the stored rows come in the same order on every try, so their places may split equal rows
     order = ("key", "tie", "place")
     ranged = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(run, _FILE_SQL).write.option("compression", "none").parquet(folder)
+    ranged.mapInArrow(released(run), _FILE_SQL).write.option("compression", "none").parquet(folder)
     drop_dir(spark, stored)
 
 
@@ -191,7 +191,7 @@ def load(spark, folder: str) -> DataFrame:
                 if keys:
                     yield batch(_DOC, [keys, starts, counts, blobs])
 
-    return placed.select("raw", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("raw", "before").mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 _DOC = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]

@@ -156,7 +156,7 @@ class WordEncoder:
         return spans[:, 0] + shift, spans[:, 1] + shift
 
     def _part_spans(self, parts: list[bytes]) -> Iterator[tuple[bytes, tuple[list[int], int]]]:
-        """Starts and ends of the tokens of cores and marks, in turn, and their length in code points; as ``_encode_parts`` goes about it."""
+        """Starts and ends of the tokens of cores and marks, in turn, and their length in code points."""
         model, others = self.tokenizer.model, []
         for part in parts:
             letters = part.decode()
