@@ -18,14 +18,14 @@ CHUNK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most about ``CHUNK_BYTES`` of text, with the texts' bytes (null: empty)."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most about ``most`` bytes of text, with the texts' bytes (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if held and held + n > CHUNK_BYTES:
+            if held and held + n > most:
                 yield _with_texts(batch.slice(start, i - start), text)
                 start, held = i, 0
             held += int(n)

@@ -1,59 +1,122 @@
 """Phrase collocations: word sequences that occur together more often than their parts suggest, per language.
 
-All 1 to ``max_n`` word sequences of every text become rows, which one hash aggregate counts per language; counts combine
-before the shuffle, so a frequent phrase or a language with most rows doesn't gather in a task. From then on only phrases
-of at least ``least`` occurrences matter (the parts of such a phrase are as frequent), so the rest works on that small
-table: it is cut behind each word and joined with the counts of both parts, scored in exact decimals, freed from phrases
-that mostly occur inside a one-word extension (an anti join), and ranked per language by a window, whose limit Spark
-applies in each partition before rows of a language meet.
+All 1 to ``max_n`` word sequences of every text become rows, which one hash aggregate counts per language. Equal rows of
+``TOGETHER`` bytes of text leave their task as one row with a count (words are told apart by 64-bit hashes there), so a
+frequent phrase or a language with most rows doesn't gather in a task. From then on only phrases of at least ``least``
+occurrences matter (the parts of such a phrase are as frequent), so the rest works on that small table: it is cut behind
+each word and joined with the counts of both parts, scored in exact decimals, freed from phrases that mostly occur inside
+a one-word extension (an anti join), and ranked per language by a window, in shares of each language first.
 
 An extension by several words needs no look: the one-word extension inside it is at least as frequent.
 
 Defined cases: a null text has no words, a null language is ``und``, equal to a language of that name; repeated rows count
 as often as they occur; an empty table gives an empty result; ties in score and count are ordered by the phrase's bytes.
-Extra columns don't matter. A very long text is one row until its pieces are exploded.
+Extra columns don't matter. A very long text is worked off in its own step of a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import batch, released, runs, text_chunks, word_hashes
 from .common import checkpointed
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What ends a piece; no phrase crosses it.
-CUT = r"[.,;:!?\x0A-\x0D]"
-#: What ends a word, as one run.
-ENDS = r"[\x20\x09.,;:!?\x0A-\x0D]+"
+#: Lower case for A to Z; blanks become a space and what ends a piece a line end. No phrase crosses a piece's end.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 #: Scores are in millionths.
 SCALE = 1_000_000
 WHOLE = "decimal(19,0)"
-
-
-def _words(piece: Column) -> Column:
-    return F.array_remove(F.split(piece, r"[\x20\x09]+"), "")
-
-
-def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The texts' pieces: lang, words (array)."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    # words leave an explode, so that no lambda below splits a piece again for each of its items
-    cut = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(F.transform(F.split(lowered, CUT), _words)).alias("words"))
-    return cut.where(F.size("words") > 0)
+#: Bytes of text whose equal phrases leave a task as one row.
+TOGETHER = 20 << 20
+#: Shares of a language that are ranked on their own first.
+SHARES = 64
+#: Rows that leave a task together.
+BATCH = 100_000
+_ROW = [("lang", pa.string()), ("phrase", pa.string()), ("times", pa.int32())]
 
 
 def _joined(words: Column, start: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(words, start, n), " ")
 
 
-def phrase_counts(cut: DataFrame, max_n: int, least: int) -> DataFrame:
-    """Phrases of 1 to ``max_n`` words that occur ``least`` times or more: lang, phrase, f."""
-    words, grams = F.col("words"), [F.col("words")]
-    for n in range(2, max_n + 1):  # each sequence of n - 1 words with the word behind it; null behind a piece's end
-        grams.append(F.zip_with(grams[-1], F.slice(words, F.lit(n), F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y)))
-    rows = cut.select("lang", F.explode(F.concat(*grams)).alias("phrase")).where(F.col("phrase").isNotNull())
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+def _phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges of ``raw`` as strings."""
+    lengths = ends - starts
+    edges = np.r_[0, np.cumsum(lengths)]
+    places = np.repeat(starts - edges[:-1], lengths) + np.arange(edges[-1])
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw[places])])
+
+
+def _counted(whole: bytes, max_n: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Phrases of one chunk of translated text, each once: their words, the phrases, their counts."""
+    data = np.frombuffer(whole, np.uint8)
+    word = (data != 32) & (data != 10)
+    before = np.r_[False, word[:-1]] if len(word) else word
+    starts, hashes = word_hashes(whole, lower=False)
+    piece = np.cumsum(data == 10, dtype=np.int32)[starts]
+    # each word and one space, so that a phrase is a range of bytes
+    raw = np.where(word, data, np.uint8(32))[word | before]
+    ends = np.flatnonzero(np.r_[raw == 32, not len(raw) or raw[-1] != 32])[: len(starts)]
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    del data, word, before
+    if not len(starts):
+        return
+    # words become ranks in the order of their bytes, so that equal phrases meet and neighbours share their beginning
+    _, first, own = np.unique(hashes, return_index=True, return_inverse=True)
+    said = [raw[a:z].tobytes() for a, z in zip(starts[first], ends[first], strict=True)]
+    rank = np.empty(len(said), np.int32)
+    rank[sorted(range(len(said)), key=said.__getitem__)] = np.arange(len(said))
+    words, word_rank = len(said), rank[own]
+    del hashes, own, said, rank
+    code, inside = word_rank, np.arange(len(starts), dtype=np.int32)
+    for n in range(1, max_n + 1):
+        if n > 1:
+            kept = inside + n - 1 < len(piece)
+            kept[kept] = piece[inside[kept]] == piece[inside[kept] + n - 1]
+            inside = inside[kept]
+            code = code[kept].astype(np.int64) * words + word_rank[inside + n - 1]
+            del kept
+        order = np.argsort(code)
+        first, times = runs(code[order])
+        at = inside[order[first]]
+        code = np.empty(len(order), np.int32)
+        code[order] = np.repeat(np.arange(len(first), dtype=np.int32), times)  # ranks of phrases, small enough to be extended
+        del order
+        for k in range(0, len(at), BATCH):
+            own = at[k : k + BATCH]
+            yield n, _phrases(raw, starts[own], ends[own + n - 1]), times[k : k + BATCH]
+
+
+def _exploded(max_n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, most=TOGETHER):
+            langs = part["lang"].to_pylist()
+            for lang in sorted(set(langs)):
+                whole = b"\n".join(t for t, own in zip(texts, langs, strict=True) if own == lang).translate(_PLAIN)
+                total = 0
+                for n, phrases, times in _counted(whole, max_n):
+                    total += int(times.sum()) * (n == 1)
+                    yield batch(_ROW, [pa.repeat(lang, len(phrases)), phrases, times])
+                yield batch(_ROW, [[lang], [""], [total]])
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, text: str, lang: str, max_n: int, least: int) -> DataFrame:
+    """Phrases of 1 to ``max_n`` words that occur ``least`` times or more: lang, phrase, f; the empty phrase's f counts a language's words."""
+    slim = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    rows = slim.mapInArrow(released(_exploded(max_n)), "lang string, phrase string, times int")
+    # one key column makes smaller rows; phrases have no tab. Most rows of a task differ by now, so they are dealt as they are
+    dealt = rows.select(F.concat("lang", F.lit("\t"), "phrase").alias("both"), "times").repartition("both")
+    counted = dealt.groupBy("both").agg(F.sum("times").alias("f"))
+    counted = counted.where((F.col("f") >= least) | F.endswith("both", F.lit("\t")))
+    phrase = F.substring_index("both", "\t", -1)
+    return counted.select(F.substr("both", F.lit(1), F.length("both") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _candidates(frequent: DataFrame) -> DataFrame:
@@ -85,8 +148,7 @@ def mine(
     ``least``: occurrences that make a candidate. ``share``: percentage of a candidate's occurrences inside a longer one from
     which it is dropped.
     """
-    cut = pieces(docs, text, lang)
-    frequent = checkpointed(phrase_counts(cut, max_n, least))
+    frequent = checkpointed(phrase_counts(docs, text, lang, max_n, least))
     candidates, scored, n = _candidates(frequent), scores(frequent), F.size("words")
     longer = candidates.where(n > 2).select(
         "lang", F.col("a").alias("f"), F.explode(F.array(_joined(F.col("words"), 1, n - 1), _joined(F.col("words"), 2, n - 1))).alias("phrase")
@@ -94,10 +156,12 @@ def mine(
     inside = longer.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
     held = (F.col("c.lang") == F.col("x.lang")) & (F.col("c.phrase") == F.col("x.phrase")) & (100 * F.col("x.f") >= share * F.col("c.a"))
     free = scored.alias("c").join(inside.alias("x"), held, "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase")
-    ranked = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    whole = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), ENDS), "")
-    totals = docs.groupBy(F.coalesce(F.col(lang), F.lit("und")).alias("lang")).agg(F.sum(F.size(whole).cast("long")).alias("n"))
+    within = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("low.score"), F.desc("a"), "phrase"))
+    # a language's first are among the first of its shares, so no task ranks a whole language
+    dealt = free.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    few = dealt.withColumn("rank", within("lang", "share")).where(F.col("rank") <= top)
+    ranked = few.withColumn("rank", within("lang")).where(F.col("rank") <= top)
+    totals = frequent.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "low.l", "low.r", "n", "low.score", F.col("low.cut").cast("long").alias("cut")
     )
