@@ -2,12 +2,12 @@
 
 Every source is a queue of its documents in a hashed order, every target its weight. A copy of a document has the virtual
 finish time (words of its source up to and including it) / (target of its source); copy e comes after e whole passes over
-the source. In the global order of finish times the sources are served in proportion to their targets, and the order is
-truncated at the budget, which the targets add up to: the copy that is in service then is cut there, later ones are not
-taken. A source so gives its target but for about a document.
+the source. Sorting all copies by finish time serves the sources in proportion to their targets; as the targets add up to
+the budget, the budget is spent exactly when virtual time reaches 1. The order is truncated there: the copies that are in
+service then are cut, at most one for each source, so each source gives its target to the word. (Cutting the last copy of the
+order alone would let a source miss its target by a document, which is much for sources of few documents.)
 
-The cut is found without sorting all copies: virtual time is divided into ``TICKS``, whose words are added up first, and only the
-tick in which the budget ends is ordered. No text travels through the plan; ``mix`` joins texts to it at the end.
+No text travels through the plan; ``mix`` joins texts to it at the end.
 
 Running sums never gather a source in one task: a document's hash also names one of ``SLOTS`` slots, sums run inside
 (source, slot), and the slots' totals are added up first. A source with any share of the rows is thus spread evenly.
@@ -19,17 +19,15 @@ empty result; a table without any word gives targets of 0. Extra columns do not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, checkpointed, word_count
 
 #: Slots of a source's hashed order, named by the first three hex digits of the hash.
 SLOTS = 4096
-#: Parts of a unit of virtual time.
-TICKS = 4096
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 COPIES = 2
@@ -108,43 +106,18 @@ def schedule(
         .withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
     )
     starts = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda e: e * F.col("source_size") + F.col("start"))
-    timed = checkpointed(
-        joined.select(
-            "doc_id", "source", "size", "source_size", "target", "hash",
-            F.transform(starts, lambda s: (s + F.col("size")) / F.col("target")).alias("finish"), *(["row"] if row else []),
-        )
-    )
-    served = _served(timed, targets)
-    return timed.select("doc_id", "source", "size", "source_size", "target", served.alias("served"), "finish", *(["row"] if row else [])).withColumn(
-        "taken", F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x)
-    )
-
-
-def _place(finish: Column) -> Column:
-    """Where a copy stands in the global order."""
-    return F.struct(finish.alias("finish"), F.col("hash").alias("hash"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-
-
-def _served(timed: DataFrame, targets: DataFrame) -> Column:
-    """The words taken of each copy. The copy in which the budget ends is found first; only its place comes to the driver."""
-    nothing = F.transform("finish", lambda f: F.lit(0).cast("long"))
-    budget = int((targets.agg(F.sum("target")).first()[0] or 0) // 1)
-    copies = timed.where("size > 0").select("size", F.explode(F.transform("finish", _place)).alias("at"))
-    copies = copies.withColumn("tick", F.floor(F.col("at.finish") * TICKS))
-    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a row for each tick of virtual time, of which there are at most TICKS * copies and a few
-    ticks = copies.groupBy("tick").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(up_to(Window.orderBy("tick"))))
-    last = ticks.where(F.col("upto") - F.col("words") < budget).orderBy(F.desc("tick")).first()
-    if last is None:
-        return nothing
-    left = budget - last["upto"] + last["words"]
-    inside = copies.where(F.col("tick") == last["tick"]).withColumn("upto", F.sum("size").over(up_to(Window.partitionBy("tick").orderBy("at"))))
-    end = inside.where(F.col("upto") - F.col("size") < left).orderBy(F.desc("upto")).first()
-    at = end["at"]
-    cut = F.struct(F.lit(at["finish"]).alias("finish"), F.lit(at["hash"]).alias("hash"), F.lit(at["none"]).alias("none"), F.lit(at["name"]).alias("name"))
-    part = min(end["size"], left - end["upto"] + end["size"])
-    taken = F.transform("finish", lambda f: F.when(_place(f) < cut, F.col("size")).when(_place(f) == cut, F.lit(part)).otherwise(0).cast("long"))
-    return F.when(F.col("size") > 0, taken).otherwise(nothing)
+    goal = F.floor("target").cast("long")
+    served = F.transform(starts, lambda s: F.greatest(F.least(goal - s, F.col("size")), F.lit(0).cast("long")))
+    return joined.select(
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        served.alias("served"),
+        F.transform(starts, lambda s: (s + F.col("size")) / F.col("target")).alias("finish"),
+        *(["row"] if row else []),
+    ).withColumn("taken", F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -157,9 +130,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     own = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
     slim = docs.select(own.alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
-    planned = schedule(slim, "_key", "_text", "_source", row="_row", **how)
+    planned = checkpointed(schedule(slim, "_key", "_text", "_source", row="_row", **how).select("row", "size", "served", "finish"))
     copies = planned.select("row", "size", F.explode(F.arrays_zip("served", "finish")).alias("copy")).where("copy.served > 0")
-    copies = checkpointed(copies.select("row", "size", "copy.served", "copy.finish"))
+    copies = copies.select("row", "size", "copy.served", "copy.finish")
     texts = docs.select(own.alias("row"), F.struct("*").alias("whole"))
     if planned.groupBy("row").count().where("count > 1").take(1):
         texts = texts.dropDuplicates(["row"])  # rows that are repeated whole; any one serves all copies
@@ -193,17 +166,11 @@ targets as (
            then (max(case when cap > level_ * weight then level_ end) over ()) * weight
            else cap::double end as target from levels),
 placed as (
-  select d.*, t.source_size, t.target,
+  select d.*, t.source_size, t.target, floor(t.target)::bigint as goal,
          (sum(size) over (partition by d.source order by hash, size
             rows between unbounded preceding and current row) - size)::bigint as start
-  from sized d join targets t on d.source is not distinct from t.source),
-copies as (
-  select p.*, (e * source_size + start + size) / target as finish from placed p, (values (0), (1)) as c(e)),
-served as (
-  select *, sum(size) over (order by finish, hash, source nulls last rows between unbounded preceding and current row) - size as ahead
-  from copies where size > 0),
-budget as (select floor(sum(target))::bigint as budget from targets),
-sums as (select doc_id, hash, source, start, sum(greatest(least(budget - ahead, size), 0))::bigint as taken from served, budget group by 1, 2, 3, 4)
-select p.doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
-from placed p left join sums s on s.doc_id = p.doc_id and s.source is not distinct from p.source and s.start = p.start and p.size > 0
+  from sized d join targets t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       (greatest(least(goal - start, size), 0) + greatest(least(goal - source_size - start, size), 0))::bigint as taken
+from placed
 """
