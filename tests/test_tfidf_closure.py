@@ -66,6 +66,19 @@ def test_no_pair_is_lost(spark, least):
     assert {r.key: r.class_id for r in tfidf.classes(weights).collect()}[300] == 7
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.05, 1.0])
+def test_grid_of_blocks(spark, monkeypatch, dense):
+    monkeypatch.setattr(tfidf, "BLOCK", 40)
+    monkeypatch.setattr(tfidf, "STEP", 60)
+    monkeypatch.setattr(tfidf, "DENSE", dense)
+    rows = [(i, f"all of these share one rare word {'x' * (i % 7)} own{i} own{i} own{i}") for i in range(150)] + [(1000 + i, f"near text {i // 2} of a pair{i // 2}" + " more" * (i % 2)) for i in range(40)]
+    weights = tfidf.transform(spark.createDataFrame(rows, "id long, text string"), "id", "text", tfidf.fit(spark.createDataFrame(rows, "id long, text string"), "id", "text"))
+    got = {(r.a, r.b): r.similarity for r in tfidf.pairs(weights, 0.6).collect()}
+    vectors = _vectors(rows)
+    want = {(i, j): s for i in vectors for j in vectors if i < j and (s := round(sum(w * vectors[j].get(t, 0) for t, w in vectors[i].items()), 6)) >= 0.6}
+    assert want and got == pytest.approx(want, abs=2e-6)
+
+
 def test_empty_tables(spark):
     frame = spark.createDataFrame([], "id long, text string")
     weights = tfidf.transform(frame, "id", "text", tfidf.fit(frame, "id", "text"))
