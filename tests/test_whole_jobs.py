@@ -61,6 +61,20 @@ def test_influence_of_a_chain(spark):
     assert got[4] == (4, pytest.approx(1 + 1 / 2 + 1 / 2 + 1 / 3, abs=1e-4))
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_influence_in_blocks_and_shares(spark, monkeypatch, hops):
+    for name, value in (("_EDGES", 60), ("_BALLS", 90), ("_WIDE", 16)):
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(8)
+    ends = [(rng.randrange(90), rng.randrange(60) - 9) for _ in range(300)] + [(k, 5) for k in range(80)] + [(2**40, 1), (1, 2**40), (3, 3)]
+    frame = spark.createDataFrame([*ends, (None, 4), (4, None), *ends[:9]], "src long, dst long")
+    assert {r.node: (r.reached, r.influence) for r in graph.influence(frame, hops).collect()} == _influence(ends, hops)
+
+
+def test_influence_of_no_edges(spark):
+    assert graph.influence(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
