@@ -1,7 +1,7 @@
 """Python source texts as tables: parse status, functions, classes, imports, calls, undefined names, lines.
 
-A frame of (path, text) goes through one Arrow map for each kind of fact; parsing has no built-in form. Rows are independent, so
-nothing is shuffled. Null texts count as empty. A text that does not parse is repaired (byte-order mark, null characters, tabs), then
+A frame of (path, text) goes through one Arrow map for each kind of fact; parsing has no built-in form. Rows are independent; they are
+dealt evenly first, as parsing costs far more than reading and a small file would be one task. Null texts count as empty. A text that does not parse is repaired (byte-order mark, null characters, tabs), then
 loses up to ``DROPS`` lines that the parser names, and is quarantined if it still does not parse, or is larger than ``MOST``
 characters: it then has a status row and no facts.
 """
@@ -15,6 +15,7 @@ import hashlib
 import re
 import symtable
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -179,12 +180,18 @@ class _Plain(ast.NodeTransformer):
         return ast.copy_location(ast.Constant("c"), node)
 
 
+@lru_cache(1 << 16)
+def _structure(statement: str) -> str:
+    """A statement without its names and constants; few forms make up most bodies."""
+    return ast.dump(_Plain().visit(ast.parse(statement).body[0]))
+
+
 def _functions(tree: ast.Module) -> Iterator[tuple]:
     def walk(node: ast.AST, owner: str | None) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 inside = list(ast.walk(child))
-                plain = ast.dump(ast.Module([_Plain().visit(ast.parse(ast.unparse(s)).body[0]) for s in _body(child)], []))
+                plain = "\n".join(_structure(ast.unparse(s)) for s in _body(child))
                 yield (
                     child.name, owner, child.lineno, child.end_lineno, len(child.args.args) + len(child.args.kwonlyargs), body_kind(child),
                     ast.get_docstring(child) is not None, isinstance(child, ast.AsyncFunctionDef), 1 + sum(isinstance(x, _BRANCHES) for x in inside),
@@ -226,8 +233,11 @@ def _calls(tree: ast.Module) -> Iterator[tuple]:
             yield name, node.lineno, len(node.args) + len(node.keywords)
 
 
+_KNOWN = frozenset(dir(builtins)) | {"__file__", "__name__"}
+
+
 def _undefined(tree: ast.Module) -> Iterator[tuple]:
-    known, seen = set(dir(builtins)) | {"__file__", "__name__"}, set()
+    known, seen = _KNOWN, set()
     top = symtable.symtable(ast.unparse(tree), "m", "exec")
     here = {s.get_name() for s in top.get_symbols() if s.is_assigned() or s.is_imported() or s.is_namespace()}
     stack = [top]
@@ -251,6 +261,13 @@ _KINDS: dict[str, tuple[Callable, str]] = {
 }
 
 
+def _spread(sources: DataFrame, path: str, text: str) -> DataFrame:
+    """Paths and texts over all cores, in several rounds of tasks."""
+    spark = sources.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return sources.select(F.col(path).alias("path"), F.col(text).alias("text")).repartition(parts)
+
+
 def facts(sources: DataFrame, kind: str, path: str = "path", text: str = "text") -> DataFrame:
     """The facts of one kind (a key of ``_KINDS``) of all texts, with their path."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -269,7 +286,7 @@ def facts(sources: DataFrame, kind: str, path: str = "path", text: str = "text")
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
-    return sources.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return _spread(sources, path, text).mapInArrow(run, schema)
 
 
 def statuses(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -281,7 +298,7 @@ def statuses(sources: DataFrame, path: str = "path", text: str = "text") -> Data
             arrays = [batch.column(0), pa.array([s for s, _ in found], pa.string()), pa.array([w for _, w in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["path", "status", "warnings"])
 
-    return sources.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(run, "path string, status string, warnings array<string>")
+    return _spread(sources, path, text).mapInArrow(run, "path string, status string, warnings array<string>")
 
 
 def rates(status: DataFrame) -> DataFrame:

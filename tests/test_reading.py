@@ -57,3 +57,14 @@ def test_ignore_rules(spark, patterns, out, kept):
 
 def test_a_null_path(spark):
     assert spark.range(1).select(code.ignored(F.lit(None).cast("string"), ["*"]).alias("x")).first().x is None
+
+
+def test_parsing_of_one_partition_is_dealt(spark):
+    from driftloom.sources import code
+
+    rows = [(f"f{k}.py", f"def f{k}(p):\n    return g{k % 3}(p, {k})\n") for k in range(40)]
+    for facts in (code.facts(spark.createDataFrame(rows, "path string, text string").coalesce(1), "functions"), code.statuses(spark.createDataFrame(rows, "path string, text string").coalesce(1))):
+        assert facts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert sorted(r.path for r in facts.collect()) == sorted(p for p, _ in rows)
+    found = code.facts(spark.createDataFrame(rows, "path string, text string"), "functions").select("structure").distinct().count()
+    assert found == 1
