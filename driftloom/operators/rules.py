@@ -59,7 +59,8 @@ def significance(pairs: DataFrame) -> DataFrame:
     # distinct distances are few: at most one for each number of unequal places
     upto = Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = tallied.select("distance", F.round(F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("p"))
-    return pairs.join(share, "distance").select("a", "b", "p")
+    # broadcast, as few keys would send most pairs to few tasks
+    return pairs.join(F.broadcast(share), "distance").select("a", "b", "p")
 
 
 def cross_group_pairs(rows: DataFrame, key: str, vector: str, group: str, least: float) -> DataFrame:
