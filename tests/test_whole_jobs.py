@@ -130,6 +130,13 @@ def test_bands_follow_the_threshold():
     assert [dedup.band_rows(t) for t in (0.8, 0.1, 1.0)] == [5, 1, 100]
 
 
+def test_signatures_are_made_in_arrow_maps(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f é"), (2, "A b c d e f é"), (3, "x y"), (4, None), (5, ""), (6, "x z")], "id long, text string")
+    pairs = dedup.similar_pairs(rows, "id", "text", 0.8)
+    assert "MapInArrow" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2, 1.0), (4, 5, 1.0)]
+
+
 def test_words_of_any_script_count(spark):
     rows = duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall()
     counts = {k: Counter(re.findall(r"\w+", t.lower())) for k, t in rows}
