@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.operators import clusters as cl
-from driftloom.operators import models, vectors
+from driftloom.operators import vectors
 from driftloom.sources.tables import table
 
 from .adapters import ISSUES, issues
@@ -48,11 +48,6 @@ def _costs(s: SparkSession, d: str) -> DataFrame:
 _C = "c as (select l_suppkey % 10 as site, l_partkey % 50 as client, round(avg(l_quantity), 4) as cost from lineitem group by 1, 2)"
 
 
-def _density(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "embeddings")
-    return models.density_clusters(rows.select(F.col("vec_id").alias("node")), vectors.label_pairs(rows, "vec_id", "embedding", "label", 0.25), 4)
-
-
 _WEIGHTS = {"(?i)todo|fixme": 0.2, "[!?]{2,}": 0.1, r"\d{4,}": 0.05}
 
 PLANS = [
@@ -86,7 +81,7 @@ PLANS = [
         f"with {ISSUES} select symbol, ((max((kind = 'error')::int) = 0)::int + (max((line = 0)::int) = 0)::int + (max((file is null)::int) = 0)::int + 1)::int as lacking from issues group by 1"),
     ("greedy_facilities", lambda s, d: cl.greedy_facilities(_costs(s, d), 2), f"""with {_C}, t as (select site, round(sum(cost), 6) as total from c group by 1), a as (select * from t order by total, site limit 1), b as (select client, cost as best from c where site = (select site from a)),
         u as (select c.site, round(sum(least(cost, best)), 6) as total from c join b using (client) group by 1), z as (select * from u order by total, site limit 1) select 1::int as nth, site, total from a union all select 2, site, total from z"""),
-    ("density_clusters", _density, f"""with p as (select x.vec_id as u, y.vec_id as v from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where round(list_cosine_similarity([v::double for v in x.embedding], [v::double for v in y.embedding]), 6) >= 0.25),
+    ("density_clusters", lambda s, d: vectors.density_clusters(table(s, d, "embeddings"), "vec_id", "embedding", "label", 0.25, 4), f"""with p as (select x.vec_id as u, y.vec_id as v from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where round(list_cosine_similarity([v::double for v in x.embedding], [v::double for v in y.embedding]), 6) >= 0.25),
         core as (select u as node from p group by 1 having count(*) + 1 >= 4), ways as (select u, v from p where u in (select node from core) and v in (select node from core)), {_labels(14, "ways", "core")},
         near as (select u as node, min(l14.label) as border from p join l14 on node = v group by 1) select vec_id as node, coalesce(l14.label, border) as cluster from embeddings left join l14 on l14.node = vec_id left join near on near.node = vec_id"""),
 ]
