@@ -184,6 +184,8 @@ def nearest(spark: SparkSession, folder: str, queries: DataFrame, key: str, vect
     members = _stored(spark, folder, "cells")
     if members is None:
         return spark.createDataFrame([], "a long, b long, similarity double, nth int")
+    # a repeated key asks once, by the rule of append
+    asked = asked.groupBy("k").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     asked = _nearest_cells(asked, centres, probes or fitted)
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
     # a row for each cell, of which there are at most MOST_CELLS
