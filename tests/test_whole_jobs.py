@@ -71,6 +71,19 @@ def test_influence_in_blocks_and_shares(spark, monkeypatch, hops):
     assert {r.node: (r.reached, r.influence) for r in graph.influence(frame, hops).collect()} == _influence(ends, hops)
 
 
+def test_edges_of_influence_are_lists(spark, monkeypatch):
+    sent, step = [], graph._step_back
+
+    def held(edges, reach, counted):
+        sent.append(edges.count())
+        return step(edges, reach, counted)
+
+    monkeypatch.setattr(graph, "_step_back", held)
+    got = graph.influence(spark.createDataFrame([(s, d) for s in range(60) for d in range(5)] * 2, "src long, dst long"), 2)
+    assert {(r.node, r.reached, r.influence) for r in got.collect()} == {(d, 59, 59.0) for d in range(5)}
+    assert sent == [5]
+
+
 def test_influence_of_no_edges(spark):
     assert graph.influence(spark.createDataFrame([], "src long, dst long")).collect() == []
 
