@@ -150,6 +150,30 @@ def test_signatures_are_made_in_arrow_maps(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 2, 1.0), (4, 5, 1.0)]
 
 
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_copies_are_verified_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(dedup, "SENT", sent)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base)] * 30 + [" ".join([*base, "more"])] * 30 + ["another text"] * 3 + ["lonely"] + [None] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    seen, alike = spark.sparkContext.accumulator(0), dedup._alike
+
+    def counted(threshold):
+        run = alike(threshold)
+
+        def each(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield from run(iter([batch]))
+
+        return each
+
+    monkeypatch.setattr(dedup, "_alike", counted)
+    got = {(r.a, r.b): r.similarity for r in dedup.similar_pairs(rows, "id", "text", 0.8).collect()}
+    want = {(a, b): 1.0 for a in range(66) for b in range(a + 1, 66) if texts[a] == texts[b]} | {(a, b): round(40 / 41, 6) for a in range(30) for b in range(30, 60)}
+    assert got == want and seen.value == 1
+
+
 def test_words_of_any_script_count(spark):
     rows = duckdb.sql(f"select doc_id, coalesce(text, '') from '{SF}/documents.parquet'").fetchall()
     counts = {k: Counter(re.findall(r"\w+", t.lower())) for k, t in rows}
