@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftloom.operators import closure, tfidf
@@ -79,6 +81,24 @@ def test_grid_of_blocks(spark, monkeypatch, dense):
     assert want and got == pytest.approx(want, abs=2e-6)
 
 
+def test_vectors_are_sent_packed(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k) - 3, rng.permutation(50_000)[: rng.integers(0, 300)].tolist(), int(k) % 2) for k in range(200)]
+    rows = [(k, ids, rng.random(len(ids)).tolist(), block) for k, ids, block in rows]
+    form = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32())), ("block", pa.int32())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form)
+    whole = pa.Table.from_batches(list(tfidf._pack(iter([batch]))))
+    assert sum(map(len, whole.column("data").to_pylist())) < 0.7 * batch.nbytes
+    got = {}
+    for r in whole.to_pylist():
+        keys, at, ids, weights = tfidf._side(pa.Table.from_pylist([r], whole.schema))
+        for n, k in enumerate(keys.tolist()):
+            got[k] = (r["block"], dict(zip(ids[at == n].tolist(), weights[at == n].tolist())))
+    assert len(got) == 200
+    for k, ids, weights, block in rows:
+        assert got[k][0] == block and got[k][1] == pytest.approx(dict(zip(ids, weights)), rel=5e-4, abs=1e-6)
+
+
 def test_empty_tables(spark):
     frame = spark.createDataFrame([], "id long, text string")
     weights = tfidf.transform(frame, "id", "text", tfidf.fit(frame, "id", "text"))
